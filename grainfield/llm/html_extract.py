@@ -231,8 +231,15 @@ def labelled_pages() -> list[str]:
             f"<form data-is=other>{_words(4)}</form><div id=newsletter data-is=other>{para(22, 70)}</div><footer data-is=other>{para(40)}</footer>"
         )
         out.append(f"<article data-is=main>{inner}</article>")
-        out.append(f"<div data-is=other>{_words(6)}</div><main data-is=main>{para(*sizes)}</main><div data-is=other>{_words(30)}</div><div data-is=other>{_words(8)}</div>")
-        out.append(f"<div data-is=other>{_words(5)}</div><div data-is=other><ul>{links(5, 2)}</ul></div><div data-is=main>{para(45, 6, 90, 30, 3, 60)}</div><div data-is=other><ul>{links(2, 20)}</ul><p><a href=x>{_words(35)}</a> {_words(5)}</p></div><div data-is=other><a href=x>{_words(3)}</a> <a href=x>{_words(2)}</a></div><div data-is=other>{_words(4)}</div>")
+        out.append(f"<article data-is=main>{para(*sizes)}</article>")
+        out.append(f"<div data-is=main>{para(30, 12, 45, 25)}</div>")
+        for k in sizes:
+            # Other parts of any length, beside blocks of any length.
+            out.append(f"<article data-is=main>{para(k, 30)}</article><footer data-is=other>{_words(k + 4)}</footer><div class=ad data-is=other>{para(3 * k, 21, 60)}</div>")
+            out.append(f"<nav data-is=other>{para(k + 9)}</nav><article data-is=main>{para(20)}</article><footer data-is=other>{_words(k + 12)}</footer>")
+            out.append(f"<div class=sidebar data-is=other>{para(40, k, 90)}</div><div data-is=main>{para(50, 70)}</div><footer data-is=other>{_words(k + 17)}</footer>")
+        out.append(f"<div data-is=other>{_words(6)}</div><main data-is=main>{para(*sizes)}</main><div data-is=other>{_words(8)}</div>")
+        out.append(f"<div data-is=other>{_words(5)}</div><div data-is=other><ul>{links(5, 2)}</ul></div><div data-is=main>{para(45, 6, 90, 30, 3, 60)}{para(20, 16, 22)}</div><div data-is=other><ul>{links(2, 20)}</ul><p><a href=x>{_words(35)}</a> {_words(5)}</p></div><div data-is=other><a href=x>{_words(3)}</a> <a href=x>{_words(2)}</a></div><div data-is=other>{_words(4)}</div>")
     return out
 
 
