@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, metric_join, near_dup, toxicity
+from . import chat_format, decontaminate, html_extract, line_dedup, metric_join, near_dup, secrets, toxicity
 from .common import table
 
 
@@ -106,6 +106,21 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repository"), F.col("source").alias("owner"))
+    got = secrets.secrets(docs)
+    said = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+    many = lambda part, name: F.size(F.filter("spans", lambda x: x[part] == name)).cast("long").alias(f"n_{name}")
+    return got.select(
+        "doc_id",
+        *[many("kind", k) for k, *_ in secrets.BASE],
+        F.sha2(said(F.filter("spans", lambda x: x["kind"] != "reuse")), 256).alias("base_sha256"),
+        said(F.col("spans")).alias("spans"),
+        many("verdict", "live"),
+        many("verdict", "example"),
+    )
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return got.withColumn("n_chars", F.length("text").cast("long"))
@@ -155,6 +170,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
+    "op5_secret_scan": op5_secret_scan,
     "op7_html_extract": op7_html_extract,
     "op8_near_dup": op8_near_dup,
     "op9_decontaminate": op9_decontaminate,
