@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, html_extract, line_dedup, metric_join, near_dup, secrets, toxicity
+from . import chat_format, decontaminate, html_extract, line_dedup, lm_score, metric_join, mixing, near_dup, secrets, toxicity
 from .common import table
 
 
@@ -101,6 +101,11 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.with_topic(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).drop("text")
+    return mixing.mixed(docs, ["source", "lang", "topic"], "tokens")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
@@ -121,6 +126,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.stupid_backoff(table(spark, sf_dir, "documents"))
+
+
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = html_extract.extracted(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return got.withColumn("n_chars", F.length("text").cast("long"))
@@ -168,9 +177,11 @@ FROM v JOIN c ON c.a = v.vec_id
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_mixing": op2_mixing,
     "op3_toxicity": op3_toxicity,
     "op4_line_dedup": op4_line_dedup,
     "op5_secret_scan": op5_secret_scan,
+    "op6_lm_score": op6_lm_score,
     "op7_html_extract": op7_html_extract,
     "op8_near_dup": op8_near_dup,
     "op9_decontaminate": op9_decontaminate,
