@@ -118,23 +118,40 @@ def mixed_channels(r: Column, g: Column, b: Column, matrix: list[list[float]] |
     if any(w < 0 for row in rows for w in row):
         raise ValueError("mix weights can't be negative")
     v = [r * row[0] + g * row[1] + b * row[2] for row in rows] if matrix else [c.cast("double") for c in (r, g, b)]
+    # Degrees as a share of sextants, with the sign of `hue`.
     shift = (hue % 360.0) / 60.0 if hue >= 0 else -((-hue) % 360.0) / 60.0
     if shift:
-        high, low = F.greatest(*v), F.least(*v)
-        chroma = high - low
-        safe = F.when(chroma > 0, chroma).otherwise(1.0)
-        at = F.when(high == v[0], (v[1] - v[2]) / safe).when(high == v[1], 2 + (v[2] - v[0]) / safe).otherwise(4 + (v[0] - v[1]) / safe)
-        turned = at + shift
-        out = []
-        for c, start in zip(v, (5.0, 3.0, 1.0), strict=True):
-            # Distance around the colour circle, in sextants: the channel falls from its peak over one of them.
-            k = F.pmod(turned + start, F.lit(6.0))
-            out.append(F.when(chroma > 0, high - chroma * F.greatest(F.lit(0.0), F.least(k, 4 - k, F.lit(1.0)))).otherwise(c))
-        v = out
+        v = _turned(v, shift)
     same = (r == g) & (g == b)
     return tuple(F.when(same, c).otherwise(F.round(F.least(F.greatest(x, F.lit(0.0)), F.lit(maximum))).cast("int")) for c, x in zip((r, g, b), v, strict=True))  # type: ignore[return-value]
 
 
+def _let(value: Column, f) -> Column:
+    """`f` of a value that is computed once, however often `f` names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _turned(v: list[Column], shift: float) -> list[Column]:
+    """The hue of a colour moved by `shift` sextants at equal chroma and least value."""
+
+    def around(c: Column) -> Column:
+        high, low = F.greatest(c["r"], c["g"], c["b"]), F.least(c["r"], c["g"], c["b"])
+        chroma = high - low
+        safe = F.when(chroma > 0, chroma).otherwise(1.0)
+        at = F.when(high == c["r"], (c["g"] - c["b"]) / safe).when(high == c["g"], 2 + (c["b"] - c["r"]) / safe).otherwise(4 + (c["r"] - c["g"]) / safe)
+        return _let(F.struct(low.alias("low"), chroma.alias("full"), F.pmod(at + shift, F.lit(6.0)).alias("hue")), lambda h: painted(c, h))
+
+    def painted(c: Column, h: Column) -> Column:
+        sextant, zero = F.floor(h["hue"]), F.lit(0.0)
+        part = h["full"] * (1 - F.abs(F.pmod(h["hue"], F.lit(2.0)) - 1))
+        shares = {"r": ((0, 5), (1, 4)), "g": ((1, 2), (0, 3)), "b": ((3, 4), (2, 5))}
+        out = {n: F.when(sextant.isin(*full), h["full"]).when(sextant.isin(*some), part).otherwise(zero) + h["low"] for n, (full, some) in shares.items()}
+        return F.struct(*[F.when(h["full"] > 0, out[n]).otherwise(c[n]).alias(n) for n in "rgb"])
+
+    got = _let(F.struct(*[x.alias(n) for x, n in zip(v, "rgb", strict=True)]), around)
+    return [got[n] for n in "rgb"]
+
+
 def max_color(r: Column, g: Column, b: Column, level: float, maximum: float = 65535.0, srgb: bool = False) -> tuple[Column, Column, Column]:
     """Chroma raised towards the gamut's edge (level up to 1), then opponents removed (above 1); neutral pixels stay."""
     if not 0 <= level <= 2:
