@@ -123,14 +123,16 @@ def blocks(page: str) -> list[Block]:
             parts.append((" ", False))
         if tag in INLINE:
             continue
+        if tag in RAW:
+            # Its text is no markup and ends at its own end tag only; it breaks no block.
+            end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)[^>]*(?:>|\\Z)", re.I).search(page, at)
+            at = end.end() if end else len(page)
+            continue
         flush()
         links = 0
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
-        if tag in RAW:
-            end = re.compile(f"</{tag}(?=[\\s/>]|\\Z)", re.I).search(page, at)
-            at = end.start() if end else len(page)
-        elif tag == "body":
+        if tag == "body":
             close("head")
         if tag in UNNESTED and any(o.tag == tag for o in stack[-2:]):
             close(tag)
