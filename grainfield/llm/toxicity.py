@@ -95,11 +95,11 @@ def train(
 ) -> FactorizationMachine:
     """Adagrad on the log loss, in batches. Only terms take part whose presence goes with the label beyond chance:
     a G squared of `min_gain` or more, the `max_terms` largest at most."""
-    all_terms, inverse, counts = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int64), return_inverse=True, return_counts=True)
+    all_terms, inverse, counts = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int32), return_inverse=True, return_counts=True)
     with_1 = np.bincount(inverse, np.repeat(labels, [len(d) for d in docs]), len(all_terms))
     gain = _gain(with_1, counts.astype(float), float(labels.sum()), float(max(1, len(labels))))
     best = np.argsort(-gain, kind="stable")[:max_terms]
-    terms = np.sort(all_terms[best[gain[best] >= min_gain]])
+    terms = np.sort(all_terms[best[gain[best] >= min_gain]]).astype(np.int64)
     at = [np.searchsorted(terms, d[np.isin(d, terms, assume_unique=True)]) for d in docs]
     rng = np.random.default_rng(seed)
     rate_1 = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
@@ -127,7 +127,7 @@ def train(
     return FactorizationMachine(dims, terms, bias, w, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 20_000, dims: int = 1 << 20) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, dims: int = 1 << 20) -> FactorizationMachine:
     """A machine learned from the labelled rows that are not held out.
 
     At most about `max_rows` of them, taken by a hash of their id, come to the driver, as terms and not as
@@ -145,14 +145,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         terms = _Terms(dims)
         for batch in them:
             got = [_features(t.as_py(), terms) for t in batch.column("t")]
-            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in got], pa.int64()), batch.column("y"), pa.array(got, pa.list_(pa.int64()))], names=["h", "y", "x"])
+            yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in got], pa.int64()), batch.column("y"), pa.array(got, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    got = rows.mapInArrow(batches, "h long, y int, x array<long>").toArrow().sort_by([("h", "ascending"), ("y", "ascending")])
-    x = [np.array(v, np.int64) for v in got.column("x").to_pylist()]
-    y_ = np.array(got.column("y").to_pylist(), np.float64)
-    if not len(x):
+    got = rows.mapInArrow(batches, "h long, y int, x array<int>").toArrow()
+    if not got.num_rows:
         return FactorizationMachine(dims, np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, 1)))
-    return train(x, (y_ > 0).astype(np.float64), dims)
+    # The same order whatever the partitions: by a hash of the terms.
+    x = [part[a:b] for c in got.column("x").chunks for part, ends in [(c.values.to_numpy(), c.offsets.to_numpy())] for a, b in zip(ends, ends[1:], strict=False)]
+    y_ = got.column("y").to_numpy()
+    order = np.lexsort((y_, got.column("h").to_numpy()))
+    return train([x[i] for i in order], (y_[order] > 0).astype(np.float64), dims)
 
 
 def held_out(doc_id):
