@@ -41,8 +41,8 @@ def contamination(
     the items with a window in the text), `contaminated` (n_hit > 0 and share * n_hit >= n_words).
 
     A window is `window` consecutive words of an item, or a whole item of fewer; words inside any occurrence
-    of a window are hit. Null text has no words and no window. Rows with one doc_id are judged one by one
-    but for equal texts, which share their judgement; a null doc_id stays. Null item ids give windows that hit
+    of a window are hit. Null text has no words and no window. Rows are judged one by one, whatever their
+    doc_id, null or repeated. Null item ids give windows that hit
     but are not listed. Empty tables give no rows, or no hits. Other columns are not read.
 
     Of each `window - gram + 1` consecutive grams the least is a fingerprint, so that every span of `window`
@@ -52,8 +52,7 @@ def contamination(
     many items meets a document once.
     """
     bench = cut(items.select(F.col(item_id).cast("string").alias("item"), words_of(F.col(item_text)).alias("w")).withColumn("n", F.size("w")))
-    base = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("th"), words_of(F.col(text)).alias("w"))
-    parts = {"doc_id": "doc_id", "th": "th"}
+    base = docs.select(F.col(doc_id).alias("doc_id"), words_of(F.col(text)).alias("w"))
     wide = base.withColumn("hw", F.transform("w", lambda x: F.xxhash64(x)))
     found, prints, windows = [], [], []
     for n, k, w in _schemes(bench, window, gram):
@@ -81,30 +80,31 @@ def contamination(
                 ),
             )
         )
-    scanned = cut(wide.select("doc_id", "th", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("found")))
-    hits = scanned.select(*parts, F.explode("found").alias("x")).select(*parts, "x.*")
+    # Written once, so that a row keeps its number.
+    scanned = cut(wide.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.size("w").cast("long").alias("n_words"), F.concat(*found).alias("found")))
+    hits = scanned.select("row", F.explode("found").alias("x")).select("row", "x.*")
     both = prints[0]
     for x in prints[1:]:
         both = both.unionByName(x)
     met = hits.join(spread(both), ["scheme", "fp"], "left_semi")
     # Extension: every window that holds the fingerprint, as words with its place.
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("around") - F.col("scheme")))
-    near = met.select(*parts, "scheme", F.explode(F.transform(F.filter(starts, lambda s: s + F.col("scheme") <= F.size("around")), lambda s: F.struct((F.col("at") + s).alias("at"), F.array_join(F.slice("around", s + 1, F.col("scheme")), " ").alias("win")))).alias("x"))
-    near = near.select(*parts, "scheme", "x.at", "x.win").distinct()
+    near = met.select("row", "scheme", F.explode(F.transform(F.filter(starts, lambda s: s + F.col("scheme") <= F.size("around")), lambda s: F.struct((F.col("at") + s).alias("at"), F.array_join(F.slice("around", s + 1, F.col("scheme")), " ").alias("win")))).alias("x"))
+    near = near.select("row", "scheme", "x.at", "x.win").distinct()
     wins = windows[0]
     for x in windows[1:]:
         wins = wins.unionByName(x)
     wins = cut(wins.distinct())
     same = cut(near.join(wins.select("win").distinct().transform(spread), "win", "left_semi"))
     # Hit words: each window's words up to where the next window begins.
-    spans = same.groupBy(*parts).agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("scheme")).alias("to")))).alias("s"))
+    spans = same.groupBy("row").agg(F.sort_array(F.collect_set(F.struct("at", (F.col("at") + F.col("scheme")).alias("to")))).alias("s"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     union = F.aggregate("s", zero, lambda a, x: F.struct(F.greatest(a["end"], x["to"]).alias("end"), (a["n"] + F.greatest(F.lit(0), x["to"] - F.greatest(a["end"], x["at"]))).alias("n")))["n"]
-    n_hit = spans.select(*parts, union.cast("long").alias("n_hit"))
+    n_hit = spans.select("row", union.cast("long").alias("n_hit"))
     listed = (
-        same.select(*parts, "win").distinct().join(spread(wins.where("item is not null")), "win").select(*parts, "item").distinct()
-        .groupBy(*parts).agg(F.sort_array(F.collect_list("item")).alias("items"))
+        same.select("row", "win").distinct().join(spread(wins.where("item is not null")), "win").select("row", "item").distinct()
+        .groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
     )
-    out = scanned.select(*parts, "n_words").join(n_hit, list(parts), "left").join(listed, list(parts), "left")
+    out = scanned.drop("found").join(n_hit, "row", "left").join(listed, "row", "left")
     out = out.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))

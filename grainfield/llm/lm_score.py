@@ -34,7 +34,7 @@ def _unpacked(raw: bytes, kind: type) -> np.ndarray:
 def _entries(docs: list[np.ndarray], order: int) -> dict[int, tuple[np.ndarray, ...]]:
     """By n: distinct n-grams of each document as hash, document, count, and weight in the document's score:
     what its logarithm of a count is multiplied with. An n-gram that ends at a word where a longer one can't (the
-    first words) or has the full order adds; one that is the context of a longer one subtracts."""
+    first words) or has the full order adds; one that is the context of the longest one that a word has subtracts."""
     out = {}
     lengths = np.array([len(d) for d in docs])
     words = np.concatenate(docs)
@@ -48,7 +48,7 @@ def _entries(docs: list[np.ndarray], order: int) -> dict[int, tuple[np.ndarray,
         some = left[: len(gram)] >= n
         g, d, p = gram[some], doc[: len(gram)][some], place[: len(gram)][some]
         adds = (p == 0) | (n == order)
-        context = (left[: len(gram)][some] > n) & (n < order)
+        context = (left[: len(gram)][some] > n) & (n < order) & ((p == 0) | (n == order - 1))
         weight = adds.astype(np.int32) - context
         by = np.lexsort((d, g))
         g, d, weight = g[by], d[by], weight[by]
@@ -151,7 +151,10 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     per_doc = cut(shares.groupBy("chunk").applyInPandas(_summed, "row long, n_words long, logs double"))
     total = per_doc.agg(F.sum("n_words").alias("n")).scalar()
     some = F.col("n_words") > 0
-    lacking = F.least(F.col("n_words"), F.lit(order - 1))
-    score = F.col("logs") - F.log(total.cast("double")) + lacking * float(np.log(alpha))
+    first = F.least(F.col("n_words"), F.lit(order - 1))
+    lacking = first * (order - 1) - first * (first - 1) / 2
+    # Words whose count stands over the words of the corpus: the first, or all of them without contexts.
+    over_total = F.col("n_words") if order == 1 else F.lit(1)
+    score = F.col("logs") - over_total * F.log(total.cast("double")) + lacking * float(np.log(alpha))
     out = per_doc.select(F.when(F.col("row") != null, F.col("row")).alias("doc_id"), "n_words", F.when(some, score).alias("log_score"))
     return out.withColumn("per_word", F.when(some, F.col("log_score") / F.col("n_words")))
