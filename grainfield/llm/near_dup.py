@@ -15,6 +15,10 @@ from .common import array_bit, bitmap, bitmap_size, components, cut, spread
 from .shingles import WordHashes, minhashes, shingle_set
 
 
+#: Rounds before all that lies apart is compared, and pairs of a class in a round. They bound no result.
+ROUNDS, PARTNERS = 6, 3
+
+
 def groups_for(similarity: float, rows: int, miss: float) -> int:
     """The least number m of minhash collections of `rows` hashes for which a pair at `similarity`
     agrees in fewer than two (so meets in none of the m(m-1)/2 tables) with probability below `miss`."""
@@ -83,9 +87,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     `groups` collections of `rows` minhashes give groups * (groups - 1) / 2 tables, each keyed by a pair of
     collections; a pair of sets at the threshold meets in one of them but for a chance of `miss`. Equal sets are
     one class. Only collection values that two classes share take part, and tables are formed from these.
-    Candidates are verified on full sets, with equal sizes first: each round compares a class with the
-    smallest class of other components in its tables; the last compares all that still lie apart, so that
-    no pair of a table is left out but those already connected.
+    Candidates are verified on full sets: first, in rounds, each class with a few that lead its tables, which connects
+    groups of copies without their pairs; then all pairs of a table that still lie in different components, so
+    that no pair is left out but those already connected.
     """
     groups = groups_for(percent / 100, rows, miss)
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
@@ -93,17 +97,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     full = sigs.where("n > 0 and id is not null")
     reps = cut(full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
 
-    # Collections whose value two classes share, then tables as pairs of these.
-    own = reps.select("rep", "n", F.posexplode("bands").alias("g", "v"))
-    shared = own.groupBy("g", "v").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("g", "v")
-    mine = own.join(spread(shared), ["g", "v"]).groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("g", "v"))).alias("x")).where(F.size("x") > 1)
-    keys = F.flatten(
-        F.transform(F.sequence(F.lit(0), F.size("x") - 2), lambda i: F.transform(F.slice("x", i + 2, F.size("x")), lambda y: F.xxhash64(F.get("x", i)["g"], F.get("x", i)["v"], y["g"], y["v"])))
+    # Collections whose value two classes share, then tables as pairs of these. A class is the more popular
+    # the more classes share its values: the one that others were copied from comes first.
+    own = reps.select("rep", "n", "bands", F.posexplode("bands").alias("g", "v"))
+    shared = own.groupBy("g", "v").agg(F.count("*").alias("m")).where("m > 1")
+    mine = own.select("rep", "g", "v").join(spread(shared), ["g", "v"]).groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("g", "v"))).alias("x"), F.sum("m").alias("pop")).where(F.size("x") > 1)
+    pairs_of = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.size("x") - 2),
+            lambda i: F.transform(F.slice("x", i + 2, F.size("x")), lambda y: F.struct(F.get("x", i)["g"].alias("i"), y["g"].alias("j"), F.xxhash64(F.get("x", i)["g"], F.get("x", i)["v"], y["g"], y["v"]).alias("key"))),
+        )
     )
-    tables = mine.select("rep", "n", F.explode(keys).alias("key"))
-    met = cut(tables)
+    met = cut(mine.select("rep", (-F.col("pop")).alias("rank"), F.explode(pairs_of).alias("t")).select("rep", "rank", "t.*"))
     alive = met.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
-    met = cut(met.join(spread(alive), "key"))
+    met = cut(met.join(spread(alive), "key").join(spread(reps.select("rep", "n")), "rep"))
 
     ids = met.select("rep").distinct()
     ids = cut(ids)
@@ -113,25 +120,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sets = sets.join(spread(reps.select(F.col("rep").alias("id"), "n")), "id").where(F.size("s") == F.col("n")).select("id", "s")
     sets = cut(sets.dropDuplicates(["id"]))
 
-    edges, done, state = None, None, met.withColumn("comp", F.col("rep"))
-    for last in (False, False, True):
-        pairs = _candidates(state, percent, last)
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not last or edges is None:
-            done = pairs if done is None else done.unionByName(pairs)
+    # Rounds that look for any link between components; each takes a few pairs per class.
+    state, done, edges, linked = met.withColumn("comp", F.col("rep")), None, None, 0
+    for turn in range(ROUNDS):
+        pairs = _leading(state, percent, turn)
+        pairs = cut(pairs if done is None else pairs.join(spread(done), ["a", "b"], "left_anti"))
+        done = pairs if done is None else cut(done.unionByName(pairs))
         got = _verified(pairs, sets, percent)
         edges = cut(got if edges is None else edges.unionByName(got))
-        if not last:
-            comp = cut(components(edges))
-            state = cut(
-                met.join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-            )
-            apart = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
-            state = cut(state.join(spread(apart), "key"))
-            if state.isEmpty():
-                break
+        before, linked = linked, edges.count()
+        if turn and linked == before:
+            break
+        comp = cut(components(edges))
+        state = met.join(spread(comp.withColumnRenamed("id", "rep")), "rep", "left").withColumn("comp", F.coalesce("component", "rep")).drop("component")
+        state = cut(state)
+        apart = state.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
+        state = cut(state.join(spread(apart), "key"))
+        if state.isEmpty():
+            break
+    # All that still lies apart.
+    state = cut(state.join(spread(reps.select("rep", "bands")), "rep"))
+    rest = cut(_apart(state, percent).join(spread(done), ["a", "b"], "left_anti"))
+    edges = cut(edges.unionByName(_verified(rest, sets, percent)))
     # Ids with several texts tie their classes together.
     several = full.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("p"), F.max(F.struct("c1", "c2")).alias("q")).where("p != q").select("id")
     tied = full.join(spread(several), "id", "left_semi").join(spread(reps.select("c1", "c2", "rep")), ["c1", "c2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
@@ -142,24 +152,36 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _candidates(state: DataFrame, percent: int, last: bool) -> DataFrame:
-    """Distinct pairs `(a, b)`, a < b, of classes in one table and different components whose sizes allow a link.
-
-    But for the last round: for each class one, the smallest class that leads a table of its own, of another
-    component. In the last round: in each table, the classes outside its largest component against all
-    of other components.
-    """
-    fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
-    if not last:
-        lead = state.groupBy("key").agg(F.min(F.struct("rep", "n", "comp")).alias("p")).select("key", F.col("p.rep").alias("p"), F.col("p.n").alias("pn"), F.col("p.comp").alias("pc"))
-        return (
-            state.join(spread(lead), "key").where((F.col("pc") != F.col("comp")) & fits)
-            .groupBy("rep").agg(F.min("p").alias("p")).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
-        )
+def _leading(state: DataFrame, percent: int, turn: int) -> DataFrame:
+    """For each class up to `PARTNERS` pairs `(a, b)`, each once, with classes of other components: of those that lead one
+    of its tables the ones that lead most of them, whose size allows a link. At first the most popular class of a
+    table leads it, later one by chance, so that groups with a centre and groups without are both found."""
+    order = F.col("rank") if turn == 0 else F.xxhash64("key", "rep", F.lit(turn))
+    one = F.struct(order.alias("o"), "rep", "n", "comp")
+    first = state.groupBy("key").agg(F.min(one).alias("p"))
+    met = cut(state.join(spread(first), "key"))
+    second = met.where(F.col("comp") != F.col("p.comp")).groupBy("key").agg(F.min(one).alias("q"))
+    met = met.join(spread(second), "key").withColumn("x", F.when(F.col("comp") != F.col("p.comp"), F.col("p")).otherwise(F.col("q")))
+    fits = 100 * F.least("n", "x.n") >= percent * F.greatest("n", "x.n")
+    shared = met.where(fits).groupBy("rep", F.col("x.rep").alias("other")).agg(F.count("*").alias("m"))
+    best = shared.groupBy("rep").agg(F.slice(F.sort_array(F.collect_list(F.struct("m", "other")), False), 1, PARTNERS).alias("l"))
+    pairs = best.select("rep", F.explode("l").alias("y")).select("rep", F.col("y.other").alias("p"))
+    return pairs.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+
+
+def _apart(state: DataFrame, percent: int) -> DataFrame:
+    """All pairs `(a, b)` that share a table, lie in different components and whose sizes allow a link, each once: from
+    the table of the first two collections that they share. In a table only the classes outside its largest
+    component look for partners."""
     counts = state.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("x")).select("key", F.col("x.comp").alias("main"))
-    minor = state.join(spread(counts), "key").where("comp != main").select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))
-    minor, state = cut(minor), state
-    return state.join(minor, "key").where((F.col("pc") != F.col("comp")) & fits).select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b")).distinct()
+    at = cut(state.join(spread(counts), "key"))
+    minor = at.where("comp != main").select("key", F.col("rep").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"), F.col("bands").alias("pb"))
+    fits = 100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")
+    before = F.exists(F.sequence(F.lit(0), F.col("j") - 1), lambda g: (g != F.col("i")) & (F.get("bands", g) == F.get("pb", g)))
+    once = (F.col("comp") == F.col("main")) | (F.col("p") < F.col("rep"))
+    minor = cut(minor.withColumnRenamed("key", "pk"))
+    met = at.join(minor, (F.col("key") == F.col("pk")) & (F.col("pc") != F.col("comp")) & once & fits & ~before)
+    return met.select(F.least("p", "rep").alias("a"), F.greatest("p", "rep").alias("b"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
