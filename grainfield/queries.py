@@ -289,13 +289,13 @@ x AS (SELECT *, e * s / (1 + (e - 1) * s) AS es, e * m / (1 + (e - 1) * m) AS em
 z AS (SELECT *, pow(({SRGB.format('em')} - 0.43) / 0.15, 2) + 0.15 * pow(greatest(0.6 - (({SRGB.format('et')}) - ({SRGB.format('es')})), 0) / 0.4, 2) AS score FROM x)"""
 
 
-@query(f"WITH {EV}, {CDF}, {_MID} SELECT frame, arg_min(i, (score, i)) AS i, round(min(score), 9) AS score, arg_min(e, (score, i)) AS exposure FROM z GROUP BY frame")
+@query(f"WITH {EV}, {CDF}, {_MID} SELECT frame, arg_min(i, (score, i)) AS i, round(min(score), 9) AS score, round(arg_min(e, (score, i)), 9) AS exposure FROM z GROUP BY frame")
 def q_exposure_grid(spark: SparkSession, d: str) -> DataFrame:
     s = views.event_raster(spark, d, "event_type")
     cdf = _cdf(s)
     scores = tone.exposure_scores(tone.midtones(cdf, _plain_range(s, cdf)), noise.no_noise())
     best = scores.groupBy("frame").agg(F.min(F.struct("score", "i", "exposure")).alias("b"))
-    return best.select("frame", F.col("b.i").cast("long").alias("i"), F.round("b.score", 9).alias("score"), F.col("b.exposure").alias("exposure"))
+    return best.select("frame", F.col("b.i").cast("long").alias("i"), F.round("b.score", 9).alias("score"), F.round("b.exposure", 9).alias("exposure"))
 
 
 def _fitted(s: DataFrame, cdf: DataFrame, exposure: float) -> DataFrame:
