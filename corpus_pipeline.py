@@ -39,7 +39,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose source, language and topic shares are nearer to each other."""
-    got = mixing.mixed(mixing.with_topic(docs), ["source", "lang", "topic"], "tokens")
+    got = mixing.mixed(mixing.with_topic(docs), ["source", "lang", "topic"], "tokens", rate=mixing.RATE)
     return got.where("selected").drop("selected")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,40 +23,106 @@ def softened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return by.select("value", (F.col("p") / by.agg(F.sum("p")).scalar()).alias("share"))
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most: int = 40) -> DataFrame:
+def _attainable(cells: DataFrame, dim: str, goal: DataFrame, size: float) -> DataFrame:
+    """`goal` with shares of `size` that the tokens of `cells` allow: a value whose share is more than its tokens gets these,
+    and the others share what is left in their proportions. Only two sums a round come to the driver."""
+    by = cut(cells.groupBy(dim).agg(F.sum(F.when(F.col("weight") > 0, F.col("tokens")).otherwise(0)).alias("most")).join(goal, dim))
+    scale = size
+    while True:
+        full = F.col("share") * scale >= F.col("most")
+        got = by.agg(F.sum(F.when(full, F.col("most"))).alias("m"), F.sum(F.when(~full, F.col("share"))).alias("s")).first()
+        if not got["s"]:
+            return by.select(dim, (F.col("most") / size).alias("share"))
+        more = (size - (got["m"] or 0)) / got["s"]
+        if more <= scale * (1 + 1e-12):
+            return by.select(dim, (F.least(F.col("share") * scale, F.col("most")) / size).alias("share"))
+        scale = more
+
+
+#: Cells up to this number are raked in one task, which spares the rounds their jobs; more are shuffled.
+SMALL_CELLS = 1 << 18
+
+
+def _in_one_task(at: DataFrame, goals: dict[str, DataFrame], tolerance: float, most: int, rate: float | None) -> DataFrame:
+    """`at` with the `weight` that the rounds of `rake` end with."""
+    goal = {d: f"_goal{i}" for i, d in enumerate(goals)}
+    whole, names = at, at.columns
+    for d, g in goals.items():
+        whole = whole.join(g.withColumnRenamed("share", goal[d]), d, "left")
+
+    def rounds(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = list(them)
+        rows = pd.concat(got) if got else pd.DataFrame()
+        if rows.empty:
+            return
+        tokens, w = rows["tokens"].to_numpy(float), rows["weight"].to_numpy(float)
+        size, cap = tokens.sum() * (1.0 if rate is None else rate), np.inf if rate is None else tokens
+        dims = []
+        for d, g in goal.items():
+            code, values = pd.factorize(rows[d])
+            want = np.zeros(len(values))
+            want[code] = rows[g].fillna(0.0).to_numpy(float) * size
+            dims.append((code, want))
+        for _ in range(most):
+            before = np.minimum(w, cap)
+            for code, want in dims:
+                s = np.bincount(code, np.minimum(w, cap), len(want))
+                w = w * np.divide(want, s, out=np.zeros(len(want)), where=s > 0)[code]
+            some = before > 0
+            if not some.any() or np.abs(np.minimum(w, cap)[some] / before[some] - 1).max() < tolerance:
+                break
+        yield rows[names].assign(weight=w)
+
+    return whole.coalesce(1).mapInPandas(rounds, at.schema)
+
+
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most: int = 40, rate: float | None = None) -> DataFrame:
     """`cells` (a row per combination, with `tokens`) with `weight`: tokens scaled until the shares of each
     dimension's values are its targets'. Values without a target, and targets without a value, count as a share
     of zero and as absent; the other targets are brought to a sum of 1. Targets that no weights can meet end
-    after `most` rounds at the last fit. Only a total and the largest change come to the driver."""
-    at = cut(cells.withColumn("weight", F.col("tokens").cast("double")))
-    whole = at.agg(F.sum("weight")).first()[0]
+    after `most` rounds at the last fit. Only totals and the largest change come to the driver.
+
+    With `rate`, `cells` are a fit's, and `held` is added: the tokens of a sample of `rate` times all tokens, in no cell
+    more than its own. What a cell or a value lacks goes to the others, in proportion to their targets."""
+    start = F.col("tokens").cast("double") if rate is None else F.col("weight") * F.lit(rate)
+    at = cut(cells.withColumn("weight", start))
+    sums = at.agg(F.count("*").alias("n"), F.sum(F.col("tokens").cast("double")).alias("s")).first()
+    whole = (sums["s"] or 0.0) * (1.0 if rate is None else rate)
+    held = F.col("weight") if rate is None else F.least(F.col("weight"), F.col("tokens").cast("double"))
     goals = {}
     for dim, t in targets.items():
         known = t.join(cells.select(F.col(dim).alias("value")).distinct(), "value", "left_semi")
         goals[dim] = cut(known.select(F.col("value").alias(dim), (F.col("share") / known.agg(F.sum("share")).scalar()).alias("share")))
-    for _ in range(most if whole else 0):
-        step = at.withColumn("before", F.col("weight"))
+        if rate is not None and whole:
+            goals[dim] = cut(_attainable(at, dim, goals[dim], whole))
+    small = sums["n"] <= SMALL_CELLS
+    if small:
+        at = cut(_in_one_task(at, goals, tolerance, most, rate))
+    for _ in range(most if whole and not small else 0):
+        step = at.withColumn("before", held)
         for dim, goal in goals.items():
-            total = step.groupBy(dim).agg(F.sum("weight").alias("s")).join(goal, dim, "left")
+            total = step.groupBy(dim).agg(F.sum(held).alias("s")).join(goal, dim, "left")
             factor = F.when(F.col("s") > 0, F.coalesce("share", F.lit(0.0)) * whole / F.col("s")).otherwise(0.0)
             step = step.join(total.select(dim, factor.alias("f")), dim).withColumn("weight", F.col("weight") * F.col("f")).drop("f")
         step = cut(step)
-        change = step.where("before > 0").agg(F.max(F.abs(F.col("weight") / F.col("before") - 1))).first()[0]
+        change = step.where("before > 0").agg(F.max(F.abs(held / F.col("before") - 1))).first()[0]
         at = step.drop("before")
         if (change or 0) < tolerance:
             break
-    return at
+    return at if rate is None else at.withColumn("held", held)
 
 
-def mixed(docs: DataFrame, dims: list[str], tokens: str, targets: dict[str, DataFrame] | None = None, power: float = 0.8, doc_id: str = "doc_id", seed: int = 1) -> DataFrame:
+def mixed(docs: DataFrame, dims: list[str], tokens: str, targets: dict[str, DataFrame] | None = None, power: float = 0.8, doc_id: str = "doc_id", seed: int = 1, rate: float | None = None) -> DataFrame:
     """`docs` with `weight`, `probability` (double) and `selected` (boolean) added, replacing columns so called.
 
     Token weights of the cells of `dims` are raked to `targets` (by dimension `(value, share)`; values as strings after
-    a "=", or "null"), by default to token shares to the `power`. weight is the factor on a document's tokens;
-    probability is weight over the largest weight, so that selected documents have the target shares in
-    expectation. The draw is a hash of id and `seed`: the same at every run, and rows with one id, or with
-    none, share it. Null values are a value of their own; null, zero or negative tokens count as 1. An empty table gives
-    an empty one.
+    a "=", or "null"), by default to token shares to the `power`. weight is the factor on a document's tokens.
+    probability is that of a sample of `rate` times all tokens (above 0, at most 1), raked to the same targets with no
+    document taken more than once: cells that are too small for their share are kept whole, and the others
+    make up for them, so that no cell's weight sets the size of the sample. By default `rate` is what input and raked
+    tokens have in common, cell by cell; a lower rate comes nearer to the targets. The draw is a hash of id and `seed`: the
+    same at every run, and rows with one id, or with none, share it. Null values are a value of their own; null, zero
+    or negative tokens count as 1. An empty table gives an empty one.
     """
     rest = [c for c in docs.columns if c not in ("weight", "probability", "selected")]
     n = F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(1)), F.lit(1))
@@ -60,15 +130,19 @@ def mixed(docs: DataFrame, dims: list[str], tokens: str, targets: dict[str, Data
     base = docs.select(*[F.col(f"`{c}`") for c in rest], *[_value(d).alias(k) for k, d in keys.items()])
     cells = cut(base.groupBy(*keys).agg(F.sum(n).alias("tokens")))
     goals = {k: targets[d] if targets else softened(cells, k, power) for k, d in keys.items()}
-    fit = rake(cells, goals).select(*keys, (F.col("weight") / F.col("tokens")).alias("weight"))
-    fit = cut(fit)
-    top = fit.agg(F.max("weight").alias("m")).scalar()
-    fit = cut(fit.withColumn("probability", F.col("weight") / top))
+    fit = cut(rake(cells, goals).withColumn("factor", F.col("weight") / F.col("tokens")))
+    if rate is None:
+        rate = fit.agg(F.sum(F.least(F.col("weight"), F.col("tokens").cast("double"))) / F.sum("tokens")).first()[0] or 1.0
+    fit = rake(fit, goals, rate=rate)
+    fit = cut(fit.select(*keys, F.col("factor").alias("weight"), (F.col("held") / F.col("tokens")).alias("probability")))
     draw = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)), 11) / F.lit(float(1 << 53))
     out = base.join(fit, list(keys)).withColumn("selected", draw < F.col("probability"))
     return out.select(*[F.col(f"`{c}`") for c in rest], "weight", "probability", "selected")
 
 
+#: Share of all tokens that the queries' sample keeps.
+RATE = 0.5
+
 #: Patterns of the kinds of text that serve as topics, in this order.
 TOPICS = (("table", r"(\|[^|\n]*){3}"), ("records", r"[0-9]{6}"), ("shouting", r"[A-Z]{4,}"), ("notes", r"[%$&#*]{3}"))
 

@@ -103,7 +103,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_topic(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).drop("text")
-    return mixing.mixed(docs, ["source", "lang", "topic"], "tokens")
+    return mixing.mixed(docs, ["source", "lang", "topic"], "tokens", rate=mixing.RATE)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

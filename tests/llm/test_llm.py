@@ -448,6 +448,25 @@ def test_mixing_edges(spark):
     assert [(r.weight, r.probability, r.selected) for r in got] == [(1.0, 1.0, True)] * 2
 
 
+def test_a_tiny_cell_does_not_set_the_size(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, f"s{min(i % 7, 3)}", f"l{int(rng.integers(3))}", int(rng.integers(100, 300))) for i in range(2000)]
+    kind = "doc_id long, source string, lang string, tokens int"
+    mix = lambda r, **k: mixing.mixed(spark.createDataFrame(r, kind), ["source", "lang"], "tokens", **k).toPandas()
+    kept = lambda g: (g["tokens"] * g["probability"]).sum() / g["tokens"].sum()
+    for rate in (None, 0.6):
+        got, more = mix(rows, rate=rate), mix([*rows, (-1, None, None, 3)], rate=rate)
+        assert kept(got) == pytest.approx(rate or kept(got), abs=1e-3) and kept(more) == pytest.approx(kept(got), abs=2e-3) and kept(got) > 0.55
+        assert more.set_index("doc_id")["probability"][-1] == 1 and more["probability"].between(0, 1).all()
+    t = got.groupby("source")["tokens"].sum() ** 0.8
+    held = (got["tokens"] * got["probability"]).groupby(got["source"]).sum()
+    assert (held / held.sum() - t / t.sum()).abs().max() < 2e-3
+    # Tables of many cells are raked by joins, to the same end.
+    monkeypatch.setattr(mixing, "SMALL_CELLS", 0)
+    again = mix(rows, rate=0.6).set_index("doc_id")["probability"]
+    assert np.allclose(again.sort_index(), got.set_index("doc_id")["probability"].sort_index(), rtol=1e-6)
+
+
 # Queries and pipeline.
 
 
