@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import cut
 from .shingles import WordHashes, mix
 
-_SCHEMA = "part int, n int, chunk long, docs int, ids binary, words binary, grams binary, at binary, counts binary, weights binary"
+_SCHEMA = "part int, n int, chunk long, ids binary, words binary, text binary, grams binary, at binary, counts binary"
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,32 +32,23 @@ def _unpacked(raw: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(flat.reshape(size, -1).T).view(kind).reshape(-1) if len(flat) else np.empty(0, kind)
 
 
-def _entries(docs: list[np.ndarray], order: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """By n: distinct n-grams of each document as hash, document, count, and weight in the document's score:
-    what its logarithm of a count is multiplied with. An n-gram that ends at a word where a longer one can't (the
-    first words) or has the full order adds; one that is the context of the longest one that a word has subtracts."""
-    out = {}
-    lengths = np.array([len(d) for d in docs])
-    words = np.concatenate(docs)
-    doc = np.repeat(np.arange(len(docs), dtype=np.uint32), lengths)
-    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-    place = np.arange(len(words)) - np.repeat(first, lengths)
-    left = np.repeat(lengths, lengths) - place
+def _entries(words: np.ndarray, lengths: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each n: distinct n-grams of each document as hash, document and count, in order, and the entry of the
+    n-gram that starts at each word (-1 if the document ends before)."""
+    doc = np.repeat(np.arange(len(lengths), dtype=np.uint32), lengths)
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(words))
     gram = np.zeros(len(words), np.uint64)
     for n in range(1, order + 1):
         gram = mix(gram[: len(words) - n + 1] * _GOLDEN + words[n - 1 :]) if n <= len(words) else gram[:0]
-        some = left[: len(gram)] >= n
-        g, d, p = gram[some], doc[: len(gram)][some], place[: len(gram)][some]
-        adds = (p == 0) | (n == order)
-        context = (left[: len(gram)][some] > n) & (n < order) & ((p == 0) | (n == order - 1))
-        weight = adds.astype(np.int32) - context
+        some = np.nonzero(left[: len(gram)] >= n)[0]
+        g, d = gram[some], doc[some]
         by = np.lexsort((d, g))
-        g, d, weight = g[by], d[by], weight[by]
+        g, d = g[by], d[by]
         new = np.concatenate([[True], (g[1:] != g[:-1]) | (d[1:] != d[:-1])]) if len(g) else np.empty(0, bool)
         starts = np.nonzero(new)[0]
-        counts = np.diff(np.append(starts, len(g)))
-        out[n] = (g[starts], d[starts], counts.astype(np.uint32), np.add.reduceat(weight, starts).astype(np.int32) if len(starts) else weight)
-    return out
+        entry = np.full(len(words), -1, np.int64)
+        entry[some[by]] = np.cumsum(new) - 1
+        yield g[starts], d[starts], np.diff(np.append(starts, len(g))).astype(np.uint32), entry
 
 
 def _mapped(order: int, parts: int, chunk_words: int):
@@ -67,22 +59,27 @@ def _mapped(order: int, parts: int, chunk_words: int):
         def chunk(rows: list[int], docs: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
             nonlocal made
             key, made = (me << 32) + made, made + 1
-            for n, (g, d, c, w) in _entries(docs, order).items():
+            words, lengths = np.concatenate(docs), np.array([len(x) for x in docs], np.int64)
+            for n, (g, d, c, _) in enumerate(_entries(words, lengths, order), 1):
                 # Equal shares of the hash's range.
                 ends = np.searchsorted(g, (np.arange(1, parts, dtype=np.uint64) * np.uint64((1 << 64) // parts)))
                 for p, (a, b) in enumerate(zip([0, *ends], [*ends, len(g)], strict=True)):
                     if a == b and (p or n > 1):
                         continue
-                    head = (rows, [len(x) for x in docs]) if p == 0 and n == 1 else None
+                    head = p == 0 and n == 1
                     deltas = np.diff(g[a:b], prepend=np.uint64(0))
                     yield pa.RecordBatch.from_pydict(
                         dict(zip(names, [[x] for x in (
-                            p, n, key, len(docs), _packed(np.array(head[0], np.int64)) if head else None, _packed(np.array(head[1], np.int64)) if head else None,
-                            _packed(deltas), _packed(d[a:b]), _packed(c[a:b]), _packed(w[a:b]),
+                            p, n, key, *((_packed(np.array(rows, np.int64)), _packed(lengths), None) if head else (None,) * 3),
+                            _packed(deltas), _packed(d[a:b]), _packed(c[a:b]),
                         )], strict=True)), schema=arrow,
                     )
+            # The words themselves go by any share to where the chunk is scored, as places in a list of the distinct ones.
+            distinct, place = np.unique(words, return_inverse=True)
+            text = pickle.dumps((_packed(distinct), _packed(place.astype(np.uint32))))
+            yield pa.RecordBatch.from_pydict({c: [x] for c, x in zip(names, ((me + made) % parts, 0, key, None, None, text, None, None, None), strict=True)}, schema=arrow)
 
-        arrow = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("chunk", pa.int64()), ("docs", pa.int32()), *[(c, pa.binary()) for c in names[4:]]])
+        arrow = pa.schema([("part", pa.int32()), ("n", pa.int32()), ("chunk", pa.int64()), *[(c, pa.binary()) for c in names[3:]]])
         rows: list[int] = []
         docs: list[np.ndarray] = []
         held = 0
@@ -101,45 +98,74 @@ def _mapped(order: int, parts: int, chunk_words: int):
     return batches
 
 
-def _counted(rows: pd.DataFrame) -> pd.DataFrame:
-    """One share of the hash range: its count table, joined to the n-grams of each chunk."""
-    sums: dict[int, np.ndarray] = {int(k): np.zeros(int(n)) for k, n in zip(rows["chunk"], rows["docs"], strict=True)}
-    for _, own in rows.groupby("n"):
-        grams = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in own["grams"]]
-        counts = [_unpacked(x, np.uint32) for x in own["counts"]]
-        table, back = np.unique(np.concatenate(grams), return_inverse=True)
-        total = np.bincount(back, np.concatenate(counts).astype(np.float64), len(table))
-        logs = np.log(np.maximum(total, 1))[back]
-        at = 0
-        for k, g, d, w in zip(own["chunk"], grams, own["at"], own["weights"], strict=True):
-            part = logs[at : at + len(g)] * _unpacked(w, np.int32)
-            s = sums[int(k)]
-            s += np.bincount(_unpacked(d, np.uint32), part, len(s))
-            at += len(g)
-    heads = rows[rows["ids"].notna()].set_index("chunk")
-    has = lambda c, k: heads.at[k, c] if k in heads.index else None
-    return pd.DataFrame({"chunk": list(sums), "sums": [s.tobytes() for s in sums.values()], "ids": [has("ids", k) for k in sums], "words": [has("words", k) for k in sums]})
-
-
-def _summed(rows: pd.DataFrame) -> pd.DataFrame:
-    head = rows[rows["ids"].notna()].iloc[0]
-    total = np.sum([np.frombuffer(x) for x in rows["sums"]], axis=0)
-    return pd.DataFrame({"row": _unpacked(head["ids"], np.int64), "n_words": _unpacked(head["words"], np.int64), "logs": total})
-
-
-def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, alpha: float = 0.4, parts: int | None = None, chunk_words: int = 1 << 20) -> DataFrame:
+def _counted(leave_out: bool):
+    def counted(rows: pd.DataFrame) -> pd.DataFrame:
+        """One share of the hash range: how often each n-gram of each chunk's documents occurs, by n and share. Left out
+        are the document's own ones if so asked."""
+        some = rows[rows["n"] == 0]
+        out = [pd.DataFrame({"part": 0, "n": 0, "chunk": some["chunk"], "ids": None, "words": None, "text": some["text"], "totals": None})]
+        for n, own in rows[rows["n"] > 0].groupby("n"):
+            grams = [np.cumsum(_unpacked(x, np.uint64), dtype=np.uint64) for x in own["grams"]]
+            counts = np.concatenate([_unpacked(x, np.uint32) for x in own["counts"]]).astype(np.int64)
+            table, back = np.unique(np.concatenate(grams), return_inverse=True)
+            total = np.bincount(back, counts, len(table)).astype(np.int64)[back] - (counts if leave_out else 0)
+            ends = np.cumsum([0, *map(len, grams)])
+            packed = [_packed(total[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            out.append(pd.DataFrame({"part": own["part"], "n": n, "chunk": own["chunk"], "ids": own["ids"], "words": own["words"], "text": None, "totals": packed}))
+        return pd.concat(out)
+
+    return counted
+
+
+def _scored(order: int, alpha: float):
+    def scored(rows: pd.DataFrame) -> pd.DataFrame:
+        """One chunk: for each of its documents the sum of logarithms, and how many words stand over the corpus' words."""
+        head = rows[rows["ids"].notna()].iloc[0]
+        lengths = _unpacked(head["words"], np.int64)
+        distinct, place = map(_unpacked, pickle.loads(rows[rows["n"] == 0].iloc[0]["text"]), (np.uint64, np.uint32))
+        words = distinct[place] if len(place) else np.empty(0, np.uint64)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        at = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        logs, over, open_ = np.zeros(len(words)), np.zeros(len(words), bool), np.ones(len(words), bool)
+        found = []
+        for n, (*_, entry) in enumerate(_entries(words, lengths, order), 1):
+            own = rows[(rows["n"] == n) & rows["totals"].notna()].sort_values("part")
+            total = np.concatenate([np.empty(0, np.int64), *[_unpacked(x, np.int64) for x in own["totals"]]])
+            found.append(np.where(entry >= 0, total[entry], 0) if len(total) else np.zeros(len(words), np.int64))
+        for n in range(order, 0, -1):
+            # The n-gram that ends at a word starts n - 1 words before.
+            ends = np.zeros(len(words), np.int64)
+            ends[n - 1 :] = found[n - 1][: len(words) - n + 1] if n <= len(words) else 0
+            hit = open_ & (at >= n - 1) & (ends > 0)
+            i = np.nonzero(hit)[0]
+            logs[i] = np.log(ends[i]) + (order - n) * np.log(alpha)
+            if n > 1:
+                logs[i] -= np.log(found[n - 2][i - n + 1])
+            else:
+                over[i] = True
+            open_ &= ~hit
+        # Words that occur nowhere else: a count of one, one step below.
+        logs[open_], over[open_] = order * np.log(alpha), True
+        by = lambda x: np.bincount(doc, x, len(lengths))
+        return pd.DataFrame({"row": _unpacked(head["ids"], np.int64), "n_words": lengths, "logs": by(logs), "over": by(over).astype(np.int64)})
+
+    return scored
+
+
+def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: int = 2, alpha: float = 0.4, parts: int | None = None, chunk_words: int = 1 << 20, leave_out: bool = False) -> DataFrame:
     """One row per row of `docs`: `doc_id`, `n_words` (long), `log_score` and `per_word` (double; null without words).
 
     log_score is the sum over words of log S(w | the order - 1 words before) where S is count(n-gram) / count(context)
     if the n-gram is in the table, else alpha * S with a shorter context, and count(w) / words of the corpus at the
-    end. The table counts all documents, these included, so that each n-gram of theirs is in it: what is shorter
-    than `order` is the context at a text's first words, at the price of one alpha for each word that lacks.
+    end, where a first word has one alpha for each word that it lacks. The table counts all documents, the scored
+    one included, or with `leave_out` all others: then n-grams found nowhere else back off, and a word found
+    nowhere else takes a count of 1 and one more alpha.
     Words are runs between ASCII white space, A-Z lower-cased. Null texts have none. Rows are scored one by one
     whatever their id, null or repeated; an empty table gives an empty one. Other columns are not read.
 
     Chunks of documents send each share of the hash range their distinct n-grams per document, packed. A share
-    counts them, joins the counts back and returns one sum per document and chunk; these add up by chunk. An
-    n-gram takes one entry per document in its share, however frequent it is, and shares divide the range evenly.
+    counts them and returns the counts to the chunk, which scores its words. An n-gram takes one entry per
+    document in its share, however frequent it is, and shares divide the range evenly.
     """
     spark = docs.sparkSession
     parts = parts or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -147,14 +173,11 @@ def stupid_backoff(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # Null ids travel as the least long, which no 64-bit id in use is.
     null = -(1 << 63)
     rows = src.select(F.coalesce("doc_id", F.lit(null)), "t").mapInArrow(_mapped(order, parts, chunk_words), _SCHEMA)
-    shares = rows.groupBy("part").applyInPandas(_counted, "chunk long, sums binary, ids binary, words binary")
-    per_doc = cut(shares.groupBy("chunk").applyInPandas(_summed, "row long, n_words long, logs double"))
+    back = rows.groupBy("part").applyInPandas(_counted(leave_out), "part int, n int, chunk long, ids binary, words binary, text binary, totals binary")
+    per_doc = cut(back.groupBy("chunk").applyInPandas(_scored(order, alpha), "row long, n_words long, logs double, over long"))
     total = per_doc.agg(F.sum("n_words").alias("n")).scalar()
     some = F.col("n_words") > 0
-    first = F.least(F.col("n_words"), F.lit(order - 1))
-    lacking = first * (order - 1) - first * (first - 1) / 2
-    # Words whose count stands over the words of the corpus: the first, or all of them without contexts.
-    over_total = F.col("n_words") if order == 1 else F.lit(1)
-    score = F.col("logs") - over_total * F.log(total.cast("double")) + lacking * float(np.log(alpha))
+    others = F.greatest(total - F.col("n_words"), F.lit(1)) if leave_out else total
+    score = F.col("logs") - F.col("over") * F.log(others.cast("double"))
     out = per_doc.select(F.when(F.col("row") != null, F.col("row")).alias("doc_id"), "n_words", F.when(some, score).alias("log_score"))
     return out.withColumn("per_word", F.when(some, F.col("log_score") / F.col("n_words")))

@@ -127,7 +127,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_score.stupid_backoff(table(spark, sf_dir, "documents"))
+    return lm_score.stupid_backoff(table(spark, sf_dir, "documents"), order=3, leave_out=True)
 
 
 def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -253,6 +253,34 @@ def test_lm_like_brute_force(spark, docs, texts):
                 assert got[i][1] == pytest.approx(sum(log(w, k) for k in range(len(w))), rel=1e-9)
 
 
+def test_lm_leaves_the_scored_document_out(spark, docs, texts):
+    extra = {-1: "zyzzyva qwertz", -2: "one", -3: ""}
+    rows = texts | extra
+    df = spark.createDataFrame(list(rows.items()), DOCS)
+    got = {r.doc_id: r.log_score for r in lm_score.stupid_backoff(df, order=3, leave_out=True, parts=5, chunk_words=4000).collect()}
+    words = {i: t.encode().lower().split() for i, t in rows.items()}
+    grams = lambda w: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
+    every = sum((grams(w) for w in words.values()), Counter())
+    total = sum(map(len, words.values()))
+    levels = Counter()
+    for i, w in words.items():
+        own, want = grams(w), 0.0
+        for k in range(len(w)):
+            for n in (3, 2, 1):
+                g = tuple(w[k - n + 1 : k + 1])
+                if k >= n - 1 and every[g] > own[g]:
+                    below = every[g[:-1]] - own[g[:-1]] if n > 1 else total - len(w)
+                    want += math.log((every[g] - own[g]) / below) + (3 - n) * math.log(0.4)
+                    break
+            else:
+                n, want = 0, want + 3 * math.log(0.4) - math.log(total - len(w))
+            levels[n] += 1
+        assert got[i] is None if not w else got[i] == pytest.approx(want, rel=1e-9)
+    assert min(levels[n] for n in range(4)) > 0
+    one = lm_score.stupid_backoff(df.where("doc_id = -1"), order=3, leave_out=True).collect()
+    assert one[0].log_score == pytest.approx(6 * math.log(0.4))
+
+
 def test_lm_edges(spark):
     df = spark.createDataFrame([(None, "a b"), (1, None), (1, ""), (2, "w " * 30_000), (2, "b")], DOCS)
     got = lm_score.stupid_backoff(df).collect()
