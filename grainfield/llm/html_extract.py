@@ -17,7 +17,14 @@ SILENT = {"script", "style", "noscript", "template", "textarea", "title", "svg",
 RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
 INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-UNNESTED = {"p", "li", "dt", "dd", "tr", "td", "th", "option"}
+# Elements that a start tag ends if they are open, with no element between that bounds them.
+ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tfoot"}, "tfoot": {"thead", "tbody", "tfoot"}}
+BOUNDS = set(
+    "address article aside blockquote body button caption center details dialog dir div dl fieldset figcaption figure footer form header hgroup html li main menu nav object ol pre search section select summary table td template th ul".split()
+)
+TABLE_TAGS, TABLE_BOUNDS = {"tr", "td", "th", "tbody", "tfoot"}, {"html", "table", "template"}
+# Start tags that end an open p.
+ENDS_P = (BOUNDS - {"body", "button", "caption", "html", "object", "select", "td", "template", "th"}) | {"dd", "dt", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "p"}
 PARTS = {"nav", "header", "footer", "aside", "form", "menu", "dialog", "button", "fieldset"}
 MAIN = {"article", "main"}
 WHOLE = {"html", "body", "article", "main"}
@@ -97,6 +104,15 @@ def blocks(page: str) -> list[Block]:
                 del stack[i:]
                 return
 
+    def end_open(tags: set[str], bounds: set[str]) -> None:
+        """Closes the innermost of `tags`, unless one of `bounds` is open within it."""
+        for o in reversed(stack):
+            if o.tag in tags:
+                close(o.tag)
+                return
+            if o.tag in bounds:
+                return
+
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -130,12 +146,14 @@ def blocks(page: str) -> list[Block]:
             continue
         flush()
         links = 0
+        if tag in ENDS_P:
+            end_open({"p"}, BOUNDS)
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "math"):
             continue
         if tag == "body":
             close("head")
-        if tag in UNNESTED and any(o.tag == tag for o in stack[-2:]):
-            close(tag)
+        if tag in ENDS:
+            end_open(ENDS[tag], TABLE_BOUNDS if tag in TABLE_TAGS else BOUNDS)
         main, part, label = _marks(tag, m[3])
         above = stack[-1] if stack else _Open("", False, False, None)
         stack.append(_Open(tag, above.main or main, above.part or part, label or above.label))

@@ -310,6 +310,22 @@ def test_pages(page, text):
     assert html_extract.main_text(page, html_extract.trained_tree()) == text
 
 
+@pytest.mark.parametrize(
+    "page,parts",
+    [
+        ("<article><ul class=comments><li>first<ul><li>reply</li></ul></li><li>second</li><li>third</li></ul><p>end</p></article>", {"first": 1, "reply": 1, "second": 1, "third": 1, "end": 0}),
+        ("<article><ul class=menu><li>a<ol><li>b<li>c</ol><li>d</ul><p>end</article>", {"a": 1, "b": 1, "c": 1, "d": 1, "end": 0}),
+        ("<article><p>intro<div class=ad><p>advert</p></div><p>body</p></article>", {"intro": 0, "advert": 1, "body": 0}),
+        ("<article><p>x<table class=ad><tr><td>a<table><tr><td>b</td></tr></table></td><td>c<tr><td>d</table><p>y</article>", {"x": 0, "a": 1, "b": 1, "c": 1, "d": 1, "y": 0}),
+        ("<article><table><tr><td class=ad>a<tr><td>b</td><td class=ad>c<tbody><tr><td>d</table></article>", {"a": 1, "b": 0, "c": 1, "d": 0}),
+        ("<article><dl class=ad><dt>a<dd>b<dl><dt>c</dl><dt>d</dl><p>y</article>", {"a": 1, "b": 1, "c": 1, "d": 1, "y": 0}),
+    ],
+)
+def test_nested_elements_stay_in_their_part(page, parts):
+    them = html_extract.blocks(page)
+    assert {b.text: int(b.part) for b in them} == parts and all(b.main for b in them)
+
+
 def test_tree_fits_its_table():
     tree = html_extract.trained_tree()
     them = [html_extract.blocks(p) for p in html_extract.labelled_pages()]
