@@ -32,6 +32,12 @@ def _signed(x: np.ndarray) -> list[int]:
     return x.astype(np.uint64).view(np.int64).tolist()
 
 
+def _class(s: np.ndarray) -> tuple[int, int]:
+    """A set's 128-bit hash, as two longs."""
+    whole = xxhash.xxh3_128_intdigest(s.tobytes())
+    return (whole >> 64) - (1 << 63), (whole & (1 << 64) - 1) - (1 << 63)
+
+
 def _signatures(docs: DataFrame, k: int, groups: int, rows: int) -> DataFrame:
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rng = np.random.default_rng(20240229)
@@ -43,9 +49,9 @@ def _signatures(docs: DataFrame, k: int, groups: int, rows: int) -> DataFrame:
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), k, words)
                 n.append(len(s))
-                whole = xxhash.xxh3_128_intdigest(s.tobytes())
-                c1.append((whole >> 64) - (1 << 63))
-                c2.append((whole & (1 << 64) - 1) - (1 << 63))
+                x, y = _class(s)
+                c1.append(x)
+                c2.append(y)
                 bands.append(_signed(_folded(minhashes(s, a, b).reshape(groups, rows))) if len(s) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.array(bands, pa.list_(pa.int64()))],
@@ -68,12 +74,14 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHashes()
         for batch in them:
-            sets = [shingle_set(t.as_py(), k, words).view(np.int64) for t in batch.column(1)]
+            sets = [shingle_set(t.as_py(), k, words) for t in batch.column(1)]
+            c1, c2 = zip(*map(_class, sets), strict=True) if sets else ((), ())
+            sets = [s.view(np.int64) for s in sets]
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "s"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(c1, pa.int64()), pa.array(c2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], names=["id", "c1", "c2", "s"])
 
-    return docs.mapInArrow(batches, "id long, s array<long>")
+    return docs.mapInArrow(batches, "id long, c1 long, c2 long, s array<long>")
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80, rows: int = 3, miss: float = 1e-5) -> DataFrame:
@@ -86,7 +94,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     `groups` collections of `rows` minhashes give groups * (groups - 1) / 2 tables, each keyed by a pair of
     collections; a pair of sets at the threshold meets in one of them but for a chance of `miss`. Equal sets are
-    one class. Only collection values that two classes share take part, and tables are formed from these.
+    one class, which has a number and the smallest of its ids. Only collection values that two classes share take part, and tables are formed from these.
     Candidates are verified on full sets: first, in rounds, each class with a few that lead its tables, which connects
     groups of copies without their pairs; then all pairs of a table that still lie in different components, so
     that no pair is left out but those already connected.
@@ -95,7 +103,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     src = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
     sigs = cut(_signatures(src, words, groups, rows))
     full = sigs.where("n > 0 and id is not null")
-    reps = cut(full.groupBy("c1", "c2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
+    reps = full.groupBy("c1", "c2").agg(F.min("id").alias("least"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    reps = cut(reps.withColumn("rep", F.monotonically_increasing_id()))
 
     # Collections whose value two classes share, then tables as pairs of these. A class is the more popular
     # the more classes share its values: the one that others were copied from comes first.
@@ -112,12 +121,12 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     alive = met.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("key")
     met = cut(met.join(spread(alive), "key").join(spread(reps.select("rep", "n")), "rep"))
 
-    ids = met.select("rep").distinct()
-    ids = cut(ids)
+    # The set of a class comes from a row of its smallest id; that id's other texts have other classes.
+    ids = cut(met.select("rep").distinct().join(spread(reps.select("rep", "c1", "c2", "least")), "rep"))
     bits = bitmap_size(ids.count())
-    some = src.where("id is not null").withColumn("bm", cut(bitmap(ids.select(F.xxhash64("rep").alias("h")), bits)).scalar()).where(array_bit(F.col("bm"), F.xxhash64("id"), bits))
-    sets = cut(_sets(some.select("id", "t").join(spread(ids), F.col("id") == F.col("rep"), "left_semi"), words))
-    sets = sets.join(spread(reps.select(F.col("rep").alias("id"), "n")), "id").where(F.size("s") == F.col("n")).select("id", "s")
+    some = src.where("id is not null").withColumn("bm", cut(bitmap(ids.select(F.xxhash64("least").alias("h")), bits)).scalar()).where(array_bit(F.col("bm"), F.xxhash64("id"), bits))
+    sets = cut(_sets(some.select("id", "t").join(spread(ids), F.col("id") == F.col("least"), "left_semi"), words))
+    sets = sets.join(spread(ids), ["c1", "c2"]).where(F.col("id") == F.col("least")).select(F.col("rep").alias("id"), "s")
     sets = cut(sets.dropDuplicates(["id"]))
 
     # Rounds that look for any link between components; each takes a few pairs per class.
@@ -144,9 +153,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     edges = cut(edges.unionByName(_verified(rest, sets, percent)))
     # Ids with several texts tie their classes together.
     several = full.groupBy("id").agg(F.min(F.struct("c1", "c2")).alias("p"), F.max(F.struct("c1", "c2")).alias("q")).where("p != q").select("id")
-    tied = full.join(spread(several), "id", "left_semi").join(spread(reps.select("c1", "c2", "rep")), ["c1", "c2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    of = cut(full.select("id", "c1", "c2").join(spread(several), "id", "left_semi").join(spread(reps.select("c1", "c2", "rep")), ["c1", "c2"]).select("id", "rep"))
+    tied = of.join(spread(of.groupBy("id").agg(F.min("rep").alias("a"))), "id").select("a", F.col("rep").alias("b"))
     comp = cut(components(edges.unionByName(tied)))
-    named = reps.select("c1", "c2", "rep").join(comp.withColumnRenamed("id", "rep"), "rep", "left").select("c1", "c2", F.coalesce("component", "rep").alias("component"))
+    # A component is named by the smallest id of its classes.
+    held = cut(comp.withColumnRenamed("id", "rep").join(spread(reps.select("rep", "least")), "rep"))
+    lows = held.groupBy("component").agg(F.min("least").alias("name"))
+    named = reps.select("c1", "c2", "rep", "least").join(spread(held.select("rep", "component").join(spread(lows), "component")), "rep", "left")
+    named = named.select("c1", "c2", F.coalesce("name", "least").alias("component"))
     out = sigs.join(spread(named).withColumn("linked", F.lit(True)), ["c1", "c2"], "left")
     component = F.when(F.col("id").isNotNull(), F.when((F.col("n") > 0) & F.col("linked"), F.col("component")).otherwise(F.col("id")))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -384,6 +384,13 @@ def test_near_edges(spark):
     assert near_dup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_ids_with_several_texts_keep_the_links_of_each(spark):
+    text = lambda x, change=None: " ".join("other" if k == change else f"{x}{k}" for k in range(100))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a", 50)), (3, text("b", 50)), (4, text("c")), (5, text("c", 20)), (5, text("d")), (0, text("d", 30)), (6, text("e")), (6, text("e") + " more"), (7, text("e", 99))]
+    got = near_dup.near_duplicates(spark.createDataFrame(rows, DOCS).repartition(3), words=3, percent=85).collect()
+    assert {(r.doc_id, r.component_id, r.kept) for r in got} == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 0, False), (5, 0, False), (0, 0, True), (6, 6, True), (7, 6, False)}
+
+
 def test_groups_for():
     for s, rows in ((0.85, 3), (0.8, 3), (0.9, 2)):
         m, p = near_dup.groups_for(s, rows, 1e-5), s**rows
