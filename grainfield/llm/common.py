@@ -10,6 +10,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def quoted(name: str) -> str:
+    """A column's name for `F.col`, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def others(df: DataFrame, *made: str) -> list[str]:
+    """The columns of `df` but for those called as one that is made, in upper or lower case."""
+    taken = {m.lower() for m in made}
+    return [c for c in df.columns if c.lower() not in taken]
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """A name like `name` that no column of `df` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -19,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     where the session names none (tests on one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="grainfield-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found

@@ -236,7 +236,7 @@ def test_secret_owners(spark):
 
 def test_lm_like_brute_force(spark, docs, texts):
     for order in (1, 2, 3):
-        got = {r.doc_id: (r.n_words, r.log_score) for r in lm_score.stupid_backoff(docs, order=order, parts=5, chunk_words=4000).collect()}
+        got = {r.doc_id: (r.n_words, r.log_score) for r in lm_score.stupid_backoff(docs, order=order, shares=5, chunk_words=4000).collect()}
         words = {i: t.encode().lower().split() for i, t in texts.items()}
         counts = Counter(tuple(w[k : k + n]) for w in words.values() for n in range(1, order + 1) for k in range(len(w) - n + 1))
         total = sum(map(len, words.values()))
@@ -257,7 +257,7 @@ def test_lm_leaves_the_scored_document_out(spark, docs, texts):
     extra = {-1: "zyzzyva qwertz", -2: "one", -3: ""}
     rows = texts | extra
     df = spark.createDataFrame(list(rows.items()), DOCS)
-    got = {r.doc_id: r.log_score for r in lm_score.stupid_backoff(df, order=3, leave_out=True, parts=5, chunk_words=4000).collect()}
+    got = {r.doc_id: r.log_score for r in lm_score.stupid_backoff(df, order=3, leave_out=True, shares=5, chunk_words=4000).collect()}
     words = {i: t.encode().lower().split() for i, t in rows.items()}
     grams = lambda w: Counter(tuple(w[k : k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1))
     every = sum((grams(w) for w in words.values()), Counter())
@@ -281,10 +281,38 @@ def test_lm_leaves_the_scored_document_out(spark, docs, texts):
     assert one[0].log_score == pytest.approx(6 * math.log(0.4))
 
 
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_lm_of_another_table(spark, texts, order):
+    rows = dict(list(texts.items())[:40])
+    new = {1: " ".join(list(texts.values())[50].split()[:400]), 2: list(texts.values())[3] + " qwertz never seen", 3: "never seen", 4: None}
+    df, model = spark.createDataFrame(list(new.items()), DOCS), spark.createDataFrame(list(rows.items()), DOCS)
+    got = {r.doc_id: r.log_score for r in lm_score.stupid_backoff(df, model, order=order, shares=3, chunk_words=3000).collect()}
+    words = [t.encode().lower().split() for t in rows.values()]
+    counts = Counter(tuple(w[k : k + n]) for w in words for n in range(1, order + 1) for k in range(len(w) - n + 1))
+    total, levels = sum(map(len, words)), Counter()
+    for i, t in new.items():
+        w, want = (t or "").encode().lower().split(), 0.0
+        for k in range(len(w)):
+            for n in range(min(order, k + 1), 0, -1):
+                g = tuple(w[k - n + 1 : k + 1])
+                if counts[g]:
+                    want += math.log(counts[g] / (counts[g[:-1]] if n > 1 else total)) + (order - n) * math.log(0.4)
+                    break
+            else:
+                n, want = 0, want + order * math.log(0.4) - math.log(total)
+            levels[n] += 1
+        assert got[i] is None if not w else got[i] == pytest.approx(want, rel=1e-9)
+    assert min(levels[n] for n in range(order + 1)) > 0
+    alone = lm_score.stupid_backoff(df.where("doc_id = 3"), model.limit(0), order=order).first()
+    assert alone.log_score == pytest.approx(2 * order * math.log(0.4))
+    with pytest.raises(ValueError):
+        lm_score.stupid_backoff(df, model, leave_out=True)
+
+
 def test_lm_edges(spark):
-    df = spark.createDataFrame([(None, "a b"), (1, None), (1, ""), (2, "w " * 30_000), (2, "b")], DOCS)
+    df = spark.createDataFrame([(None, "a b"), (1, None), (1, ""), (2, "w " * 30_000), (2, "b"), (-(1 << 63), "least")], DOCS).withColumn("DOC_ID_", F.lit(1))
     got = lm_score.stupid_backoff(df).collect()
-    assert sorted((str(r.doc_id), r.n_words) for r in got) == [("1", 0), ("1", 0), ("2", 1), ("2", 30000), ("None", 2)]
+    assert sorted((str(r.doc_id), r.n_words) for r in got) == [("-9223372036854775808", 1), ("1", 0), ("1", 0), ("2", 1), ("2", 30000), ("None", 2)]
     assert all((r.log_score is None) == (r.n_words == 0) for r in got)
     assert lm_score.stupid_backoff(df.limit(0)).count() == 0
 
