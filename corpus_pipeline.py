@@ -6,23 +6,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from grainfield.llm import decontaminate, line_dedup, mixing, near_dup, toxicity
-from grainfield.llm.common import cut, spread, table
+from grainfield.llm.common import cut, quoted, spread, table
+
+
+def _like(df: DataFrame, docs: DataFrame) -> DataFrame:
+    """`df` with the columns of `docs`."""
+    return df.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """Rows whose id isn't in `ids`; null ids stay."""
-    return docs.join(spread(ids.select(F.col("doc_id"))), "doc_id", "left_anti").select(*docs.columns)
+    return _like(docs.join(spread(ids.select(F.col("doc_id"))), "doc_id", "left_anti"), docs)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine doesn't call toxic."""
-    return toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0").select(*docs.columns)
+    return _like(toxicity.toxicity(docs, table(spark, sf_dir, "labels")).where("predicted = 0"), docs)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each repeated line only in the smallest document that holds it."""
     got = line_dedup.kept_lines(docs)
-    return got.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return _like(got.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample whose source, language and topic shares are nearer to each other."""
-    got = mixing.mixed(mixing.with_topic(docs), ["source", "lang", "topic"], "tokens", rate=mixing.RATE)
+    """A sample with the target shares of languages and topics, and source shares that are nearer to each other."""
+    got = mixing.mixed(mixing.with_topic(docs), ["source", "lang", "topic"], "tokens", mixing.targets(spark), rate=mixing.RATE)
     return got.where("selected").drop("selected")
 
 
