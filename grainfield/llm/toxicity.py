@@ -11,10 +11,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
+
+from .common import others, quoted
 
 _WORD = re.compile(r"\w+")
 _CACHE_WORDS = 1 << 19
-
+#: Standard deviation of the factors at the start.
+SPREAD = 0.3
 
 class _Terms(dict):
     """The terms of a word: the word, and its first four letters if it has more."""
@@ -82,64 +86,59 @@ def _margin(bias, weights, factors, flat, starts, n):
     return bias + _sums(weights[flat], starts, n) + 0.5 * ((s * s - q).sum(axis=1)) * scale, s, v, scale
 
 
-def _gain(with_1: np.ndarray, with_all: np.ndarray, ones: float, total: float) -> np.ndarray:
-    """Log-likelihood ratio statistic (G squared) of each term's two-by-two table against the label."""
-    cells = [(with_1, with_all * ones / total), (with_all - with_1, with_all * (total - ones) / total)]
-    rest, rest_1 = total - with_all, ones - with_1
-    cells += [(rest_1, rest * ones / total), (rest - rest_1, rest * (total - ones) / total)]
-    return 2 * sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-12) / np.maximum(e, 1e-12)), 0) for o, e in cells)
-
-
 def train(
-    docs: list[np.ndarray], labels: np.ndarray, dims: int, rank: int = 8, epochs: int = 20, rate: float = 0.3, decay: float = 1e-4, min_gain: float = 16.0, max_terms: int = 20_000, seed: int = 7
+    docs: list[np.ndarray], labels: np.ndarray, dims: int, rank: int = 8, epochs: int = 12, rate: float = 2.0, sparse: float = 12.0, factor_rate: float = 0.3, decay: float = 0.03, seed: int = 7
 ) -> FactorizationMachine:
-    """Adagrad on the log loss, in batches. Only terms take part whose presence goes with the label beyond chance:
-    a G squared of `min_gain` or more, the `max_terms` largest at most."""
-    all_terms, inverse, counts = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int32), return_inverse=True, return_counts=True)
-    with_1 = np.bincount(inverse, np.repeat(labels, [len(d) for d in docs]), len(all_terms))
-    gain = _gain(with_1, counts.astype(float), float(labels.sum()), float(max(1, len(labels))))
-    best = np.argsort(-gain, kind="stable")[:max_terms]
-    terms = np.sort(all_terms[best[gain[best] >= min_gain]]).astype(np.int64)
-    at = [np.searchsorted(terms, d[np.isin(d, terms, assume_unique=True)]) for d in docs]
+    """A machine fitted in batches to the log loss. Every term that the documents hold takes part, whether it goes with the
+    label by itself or not: pairs may. Weights follow the regularized leader (FTRL-proximal) with an L1 penalty of
+    `sparse`, so that the many terms of single documents don't learn these by heart; factors follow Adagrad and start
+    large enough for pairs to be seen from the first step."""
+    terms = np.unique(np.concatenate(docs) if docs else np.empty(0, np.int64)).astype(np.int64)
+    at = [np.searchsorted(terms, d) for d in docs]
     rng = np.random.default_rng(seed)
     rate_1 = float(np.clip(labels.mean() if len(labels) else 0.5, 1e-3, 1 - 1e-3))
     bias = float(np.log(rate_1 / (1 - rate_1)))
-    w, v = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), rank))
-    gw, gv, gb = np.full(len(terms), 1.0), np.full((len(terms), rank), 1.0), 1.0
+    size = len(terms)
+    w, v = np.zeros(size), rng.normal(0, SPREAD, (size, rank))
+    lead, gw, gv, gb = np.zeros(size), np.full(size, 1.0), np.full((size, rank), 1.0), 1.0
     for _ in range(epochs if len(docs) else 0):
         order = rng.permutation(len(docs))
-        for k in range(0, len(order), 256):
-            some = order[k : k + 256]
+        for k in range(0, len(order), 128):
+            some = order[k : k + 128]
             flat, starts, n = _ragged([at[i] for i in some])
-            margin, s, vf, scale = _margin(bias, w, v, flat, starts, n)
+            used, inv = np.unique(flat, return_inverse=True)
+            margin, s, vf, scale = _margin(bias, w[used], v[used], inv, starts, n)
             err = _sigmoid(margin) - labels[some]
             each = np.repeat(err, n)
-            used, inv = np.unique(flat, return_inverse=True)
-            dw = np.bincount(inv, each, len(used)) + decay * len(some) * w[used]
-            pair = (np.repeat(s, n, axis=0) - vf) * (each * np.repeat(scale, n))[:, None]
-            dv = np.stack([np.bincount(inv, pair[:, j], len(used)) for j in range(rank)], axis=1) + decay * len(some) * v[used]
+            dw = np.bincount(inv, each, len(used))
+            before = np.sqrt(gw[used])
             gw[used] += dw * dw
-            w[used] -= rate * dw / np.sqrt(gw[used])
+            after = np.sqrt(gw[used])
+            lead[used] += dw - (after - before) / rate * w[used]
+            w[used] = -np.sign(lead[used]) * np.maximum(0, np.abs(lead[used]) - sparse) * rate / after
+            pair = (np.repeat(s, n, axis=0) - vf) * (each * np.repeat(scale, n))[:, None]
+            dv = np.stack([np.bincount(inv, pair[:, j], len(used)) for j in range(rank)], axis=1) + decay * np.bincount(inv, minlength=len(used))[:, None] * v[used]
             gv[used] += dv * dv
-            v[used] -= rate * dv / np.sqrt(gv[used])
+            v[used] -= factor_rate * dv / np.sqrt(gv[used])
             gb += float(err.sum()) ** 2
             bias -= rate * float(err.sum()) / np.sqrt(gb)
     return FactorizationMachine(dims, terms, bias, w, v)
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, dims: int = 1 << 20) -> FactorizationMachine:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, dims: int = 1 << 18) -> FactorizationMachine:
     """A machine learned from the labelled rows that are not held out.
 
     At most about `max_rows` of them, taken by a hash of their id, come to the driver, as terms and not as
     texts; this bound holds at every size. Null ids and labels are left out; a document with several labels
-    has the largest. No labelled rows give a machine without terms, with a score of 0.5 throughout.
+    has the largest. No labelled rows give a machine without terms, which scores next to 0 throughout: nothing is
+    called toxic unseen.
     """
-    y = labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull()).where(~held_out(F.col(doc_id)))
-    y = y.groupBy(F.col(doc_id).alias("_id")).agg(F.max(F.col(label)).cast("int").alias("y"))
+    y = labels.select(F.col(quoted(doc_id)).alias("_id"), F.col(quoted(label)).alias("y"))
+    y = y.where("_id is not null and y is not null").where(~held_out(F.col("_id"))).groupBy("_id").agg(F.max("y").cast("int").alias("y"))
     n = y.count()
     share = min(1.0, max_rows / max(1, n))
     some = y.where(F.pmod(F.xxhash64("_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("t")).join(F.broadcast(some), "_id").select("_id", "t", "y")
+    rows = docs.select(F.col(quoted(doc_id)).alias("_id"), F.col(quoted(text)).alias("t")).join(F.broadcast(some), "_id").select("_id", "t", "y")
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(dims)
@@ -149,7 +148,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
     got = rows.mapInArrow(batches, "h long, y int, x array<int>").toArrow()
     if not got.num_rows:
-        return FactorizationMachine(dims, np.empty(0, np.int64), 0.0, np.empty(0), np.empty((0, 1)))
+        return FactorizationMachine(dims, np.empty(0, np.int64), -35.0, np.empty(0), np.empty((0, 1)))
     # The same order whatever the partitions: by a hash of the terms.
     x = [part[a:b] for c in got.column("x").chunks for part, ends in [(c.values.to_numpy(), c.offsets.to_numpy())] for a, b in zip(ends, ends[1:], strict=False)]
     y_ = got.column("y").to_numpy()
@@ -163,11 +162,11 @@ def held_out(doc_id):
 
 def scored(docs: DataFrame, machine: FactorizationMachine, text: str = "text") -> DataFrame:
     """`docs` with `score double` added, of the whole text alone; null texts score like empty ones. A column
-    called `score` is replaced, other columns pass through."""
-    rest = [c for c in docs.columns if c != "score"]
-    df = docs.select(*rest)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", score double"
-    at_text = rest.index(text)
+    called `score`, in upper or lower case, is replaced, other columns pass through."""
+    rest = others(docs, "score")
+    df = docs.select(*[F.col(quoted(c)) for c in rest])
+    schema = StructType([*df.schema.fields, StructField("score", DoubleType())])
+    at_text = [c.lower() for c in rest].index(text.lower())
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms(machine.dims, {int(t): i for i, t in enumerate(machine.terms)})
@@ -177,12 +176,12 @@ def scored(docs: DataFrame, machine: FactorizationMachine, text: str = "text") -
                 got.append(machine.scores([_features(t.as_py(), terms) for t in batch.column(at_text).slice(k, 512)]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(got) if got else [], pa.float64())], names=[*rest, "score"])
 
-    return df.mapInArrow(batches, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(batches, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", **fit_options) -> DataFrame:
     """`docs` with `held_out boolean`, `score double` (0 to 1) and `predicted int` added (replacing columns so
-    called). `held_out` is null for a null id. Every row is scored; an empty table gives an empty one."""
+    called, in upper or lower case). `held_out` is null for a null id. Every row is scored; an empty table gives an empty one."""
     machine = fit(docs, labels, doc_id, text, **fit_options)
-    out = scored(docs, machine, text)
-    return out.withColumns({"held_out": held_out(F.col(doc_id)), "predicted": (F.col("score") >= 0.5).cast("int")})
+    out = scored(docs.select(*[F.col(quoted(c)) for c in others(docs, "held_out", "predicted")]), machine, text)
+    return out.withColumns({"held_out": held_out(F.col(quoted(doc_id))), "predicted": (F.col("score") >= 0.5).cast("int")})
