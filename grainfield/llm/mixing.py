@@ -6,15 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, others, quoted, spare
 
 
 def _value(c: str) -> Column:
     """A column's value as a string; null is a value of its own."""
-    return F.coalesce(F.concat(F.lit("="), F.col(f"`{c}`").cast("string")), F.lit("null"))
+    return F.coalesce(F.concat(F.lit("="), F.col(quoted(c)).cast("string")), F.lit("null"))
 
 
 def softened(cells: DataFrame, dim: str, power: float) -> DataFrame:
@@ -23,6 +23,18 @@ def softened(cells: DataFrame, dim: str, power: float) -> DataFrame:
     return by.select("value", (F.col("p") / by.agg(F.sum("p")).scalar()).alias("share"))
 
 
+def _goal(cells: DataFrame, dim: str, given: DataFrame | None, power: float) -> DataFrame:
+    """Targets of a dimension: those given, where a row with a null value stands for all values that aren't named, which share
+    it like `softened`; without any, `softened`."""
+    soft = softened(cells, dim, power)
+    if given is None:
+        return soft
+    named = given.where("value is not null")
+    rest = soft.join(named, "value", "left_anti")
+    spread_ = given.where("value is null").agg(F.sum("share")).scalar()
+    return named.unionByName(rest.select("value", (F.col("share") / rest.agg(F.sum("share")).scalar() * spread_).alias("share"))).where("share is not null")
+
+
 def _attainable(cells: DataFrame, dim: str, goal: DataFrame, size: float) -> DataFrame:
     """`goal` with shares of `size` that the tokens of `cells` allow: a value whose share is more than its tokens gets these,
     and the others share what is left in their proportions. Only two sums a round come to the driver."""
@@ -63,7 +75,7 @@ def _in_one_task(at: DataFrame, goals: dict[str, DataFrame], tolerance: float, m
             want = np.zeros(len(values))
             want[code] = rows[g].fillna(0.0).to_numpy(float) * size
             dims.append((code, want))
-        for _ in range(most):
+        for _ in range(most if size else 0):
             before = np.minimum(w, cap)
             for code, want in dims:
                 s = np.bincount(code, np.minimum(w, cap), len(want))
@@ -76,11 +88,12 @@ def _in_one_task(at: DataFrame, goals: dict[str, DataFrame], tolerance: float, m
     return whole.coalesce(1).mapInPandas(rounds, at.schema)
 
 
-def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-4, most: int = 40, rate: float | None = None) -> DataFrame:
+def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-6, most: int = 1000, rate: float | None = None) -> DataFrame:
     """`cells` (a row per combination, with `tokens`) with `weight`: tokens scaled until the shares of each
     dimension's values are its targets'. Values without a target, and targets without a value, count as a share
     of zero and as absent; the other targets are brought to a sum of 1. Targets that no weights can meet end
-    after `most` rounds at the last fit. Only totals and the largest change come to the driver.
+    after `most` rounds at the last fit; `gap` is the largest difference that is left between a value's share and
+    its target, the same in all rows. Only totals, the gap and the largest change come to the driver.
 
     With `rate`, `cells` are a fit's, and `held` is added: the tokens of a sample of `rate` times all tokens, in no cell
     more than its own. What a cell or a value lacks goes to the others, in proportion to their targets."""
@@ -109,14 +122,21 @@ def rake(cells: DataFrame, targets: dict[str, DataFrame], tolerance: float = 1e-
         at = step.drop("before")
         if (change or 0) < tolerance:
             break
+    gap = 0.0
+    for dim, goal in goals.items() if whole else ():
+        got = at.groupBy(dim).agg((F.sum(held) / F.lit(whole)).alias("got")).join(goal, dim, "full")
+        gap = max(gap, got.agg(F.max(F.abs(F.coalesce("got", F.lit(0.0)) - F.coalesce("share", F.lit(0.0))))).first()[0] or 0.0)
+    at = at.withColumn("gap", F.lit(gap))
     return at if rate is None else at.withColumn("held", held)
 
 
 def mixed(docs: DataFrame, dims: list[str], tokens: str, targets: dict[str, DataFrame] | None = None, power: float = 0.8, doc_id: str = "doc_id", seed: int = 1, rate: float | None = None) -> DataFrame:
-    """`docs` with `weight`, `probability` (double) and `selected` (boolean) added, replacing columns so called.
+    """`docs` with `weight`, `probability`, `gap` (double) and `selected` (boolean) added, replacing columns so called, in
+    upper or lower case.
 
     Token weights of the cells of `dims` are raked to `targets` (by dimension `(value, share)`; values as strings after
-    a "=", or "null"), by default to token shares to the `power`. weight is the factor on a document's tokens.
+    a "=", or "null", and a null value for all that aren't named), for dimensions without them to token shares to the `power`. weight is the
+    factor on a document's tokens. gap is the largest difference between a share in the sample's expectation and its attainable target.
     probability is that of a sample of `rate` times all tokens (above 0, at most 1), raked to the same targets with no
     document taken more than once: cells that are too small for their share are kept whole, and the others
     make up for them, so that no cell's weight sets the size of the sample. By default `rate` is what input and raked
@@ -124,31 +144,45 @@ def mixed(docs: DataFrame, dims: list[str], tokens: str, targets: dict[str, Data
     same at every run, and rows with one id, or with none, share it. Null values are a value of their own; null, zero
     or negative tokens count as 1. An empty table gives an empty one.
     """
-    rest = [c for c in docs.columns if c not in ("weight", "probability", "selected")]
-    n = F.greatest(F.coalesce(F.col(f"`{tokens}`").cast("long"), F.lit(1)), F.lit(1))
-    keys = {f"_d{i}": d for i, d in enumerate(dims)}
-    base = docs.select(*[F.col(f"`{c}`") for c in rest], *[_value(d).alias(k) for k, d in keys.items()])
-    cells = cut(base.groupBy(*keys).agg(F.sum(n).alias("tokens")))
-    goals = {k: targets[d] if targets else softened(cells, k, power) for k, d in keys.items()}
-    fit = cut(rake(cells, goals).withColumn("factor", F.col("weight") / F.col("tokens")))
+    made = ["weight", "probability", "gap", "selected"]
+    rest = others(docs, *made)
+    n = F.greatest(F.coalesce(F.col(quoted(tokens)).cast("long"), F.lit(1)), F.lit(1))
+    keys = {spare(docs, f"_d{i}"): d for i, d in enumerate(dims)}
+    base = docs.select(*[F.col(quoted(c)) for c in rest], *[_value(d).alias(k) for k, d in keys.items()])
+    cells = cut(docs.select(*[_value(d).alias(k) for k, d in keys.items()], n.alias("tokens")).groupBy(*keys).agg(F.sum("tokens").alias("tokens")))
+    goals = {k: cut(_goal(cells, k, (targets or {}).get(d), power)) for k, d in keys.items()}
+    fit = cut(rake(cells, goals).drop("gap").withColumn("factor", F.col("weight") / F.col("tokens")))
     if rate is None:
         rate = fit.agg(F.sum(F.least(F.col("weight"), F.col("tokens").cast("double"))) / F.sum("tokens")).first()[0] or 1.0
     fit = rake(fit, goals, rate=rate)
-    fit = cut(fit.select(*keys, F.col("factor").alias("weight"), (F.col("held") / F.col("tokens")).alias("probability")))
-    draw = F.shiftrightunsigned(F.xxhash64(F.col(f"`{doc_id}`"), F.lit(seed)), 11) / F.lit(float(1 << 53))
+    fit = cut(fit.select(*keys, F.col("factor").alias("weight"), (F.col("held") / F.col("tokens")).alias("probability"), "gap"))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col(quoted(doc_id)), F.lit(seed)), 11) / F.lit(float(1 << 53))
     out = base.join(fit, list(keys)).withColumn("selected", draw < F.col("probability"))
-    return out.select(*[F.col(f"`{c}`") for c in rest], "weight", "probability", "selected")
+    return out.select(*[F.col(quoted(c)) for c in rest], *made)
 
 
 #: Share of all tokens that the queries' sample keeps.
 RATE = 0.5
 
+#: Target shares of the queries' mixture, by language and topic; a null value stands for all others. Sources are open-ended:
+#: theirs are token shares to a power.
+TARGETS = {
+    "lang": {"=en": 0.4, "=de": 0.2, "=fr": 0.2, "=es": 0.15, None: 0.05},
+    "topic": {"=prose": 0.75, "=table": 0.1, "=records": 0.05, "=shouting": 0.05, None: 0.05},
+}
+
+
+def targets(spark: SparkSession) -> dict[str, DataFrame]:
+    """`TARGETS` as tables `(value, share)`."""
+    return {d: spark.createDataFrame(list(t.items()), "value string, share double") for d, t in TARGETS.items()}
+
+
 #: Patterns of the kinds of text that serve as topics, in this order.
 TOPICS = (("table", r"(\|[^|\n]*){3}"), ("records", r"[0-9]{6}"), ("shouting", r"[A-Z]{4,}"), ("notes", r"[%$&#*]{3}"))
 
 
 def with_topic(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with `topic` (a kind of text) and `tokens` (words between ASCII white space)."""
-    t = F.coalesce(F.col(text), F.lit(""))
+    """`docs` with `topic` (a kind of text) and `tokens` (words between ASCII white space), replacing columns so called."""
+    t = F.coalesce(F.col(quoted(text)), F.lit(""))
     topic = F.coalesce(*[F.when(t.rlike(p), F.lit(name)) for name, p in TOPICS], F.lit("prose"))
     return docs.withColumns({"topic": topic, "tokens": F.regexp_count(t, F.lit(r"[^\x20\x09-\x0D]+")).cast("long")})

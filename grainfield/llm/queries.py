@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, decontaminate, html_extract, line_dedup, lm_score, metric_join, mixing, near_dup, secrets, toxicity
-from .common import table
+from .common import cut, table
 
 
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +103,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.with_topic(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")).drop("text")
-    return mixing.mixed(docs, ["source", "lang", "topic"], "tokens", rate=mixing.RATE)
+    return mixing.mixed(cut(docs), ["source", "lang", "topic"], "tokens", mixing.targets(spark), rate=mixing.RATE)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
