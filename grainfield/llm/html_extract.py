@@ -11,6 +11,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from .common import others, quoted
 
 # HTML element names by what they do, and words that name page parts in classes and ids.
 SILENT = {"script", "style", "noscript", "template", "textarea", "title", "svg", "math", "iframe", "select", "object", "head", "canvas", "audio", "video"}
@@ -279,11 +283,11 @@ def main_text(page: str | None, tree: Tree) -> str:
 
 def extracted(pages: DataFrame, html_col: str = "html", out: str = "text") -> DataFrame:
     """`pages` with `out string` for the markup in `html_col` (null: empty), the blocks that the tree calls main
-    text, joined by line feeds; empty if there are none. A column called `out` is replaced, others pass
+    text, joined by line feeds; empty if there are none. A column called `out`, in upper or lower case, is replaced, others pass
     through, the markup does not. Broken markup is read as far as it goes; no length is too long."""
-    rest = [c for c in pages.columns if c not in (html_col, out)]
-    df = pages.select(*rest, html_col)
-    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in df.schema.fields[:-1]) + f"`{out}` string"
+    rest = others(pages, html_col, out)
+    df = pages.select(*[F.col(quoted(c)) for c in rest], F.col(quoted(html_col)))
+    schema = StructType([*df.schema.fields[:-1], StructField(out, StringType())])
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = trained_tree()
@@ -291,4 +295,4 @@ def extracted(pages: DataFrame, html_col: str = "html", out: str = "text") -> Da
             got = pa.array([main_text(x.as_py(), tree) for x in batch.column(len(rest))], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], got], names=[*rest, out])
 
-    return df.mapInArrow(batches, schema)
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]).mapInArrow(batches, schema)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_text, spread
+from .common import byte_text, others, quoted, spread
 
 #: ASCII white space that a key loses at its ends.
 SPACE = " \t\n\x0b\x0c\r"
@@ -23,15 +23,15 @@ def kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     id that holds it. Null text is one empty line. Rows with one id are one document: a line goes or stays
     in all of them, and each row is a row of the result. Rows with a null id keep their lines and are not
     counted. An empty table gives an empty one. Further columns pass through, but for any that are
-    called `n_lines` or `n_dropped`, which are replaced.
+    called `n_lines` or `n_dropped`, in upper or lower case, which are replaced.
 
     Keys are compared by two 64-bit hashes. Only hashes and positions are shuffled for counting; each text
     moves once, to meet its dropped positions.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    own = [F.col(f"`{c}`") for c in columns]
-    whole = F.coalesce(F.col(text), F.lit(""))
-    base = docs.select(F.col(doc_id).alias("_id"), whole.alias("_text"), F.struct(*own).alias("_row"))
+    columns = others(docs, "n_lines", "n_dropped")
+    own = [F.col(quoted(c)) for c in columns if c.lower() != text.lower()]
+    whole = F.coalesce(F.col(quoted(text)), F.lit(""))
+    base = docs.select(F.col(quoted(doc_id)).alias("_id"), whole.alias("_text"), F.struct(F.lit(0), *own).alias("_row"))
     keyed = base.where("_id is not null").select(
         "_id",
         F.xxhash64("_text").alias("_th"),
@@ -68,7 +68,7 @@ def _reassembled(base: DataFrame, dropped: DataFrame, text: str, columns: list[s
         F.coalesce(F.size("drops"), F.lit(0)).cast("long").alias("n_dropped"),
     )
     return out.select(
-        *[F.col("_kept").alias(c) if c == text else F.col(f"_row.`{c}`") for c in columns],
+        *[F.col("_kept").alias(c) if c.lower() == text.lower() else F.col(f"_row.{quoted(c)}") for c in columns],
         "n_lines",
         F.when(F.col("n_dropped") < 0, F.lit(0)).otherwise(F.col("n_dropped")).cast("long").alias("n_dropped"),
     )

@@ -129,11 +129,33 @@ def test_machine_learns_an_interaction():
     rng = np.random.default_rng(0)
     xs = [np.array(sorted({int(a), 2 + int(b), *rng.integers(10, 40, 5).tolist()})) for a, b in rng.integers(0, 2, (1500, 2))]
     y = np.array([float((0 in x) == (2 in x)) for x in xs])
-    m = toxicity.train(xs, y, 64, epochs=60, min_gain=-1.0)
+    m = toxicity.train(xs, y, 64)
     at = [np.searchsorted(m.terms, x) for x in xs]
     assert (((m.scores(at) >= 0.5) == (y > 0)).mean()) > 0.95  # no additive weights can do this
 
 
+def test_pairs_whose_members_are_clean():
+    """Documents with a word of each of two kinds are toxic, those with one of them aren't; other words are noise."""
+    rng = np.random.default_rng(1)
+    xs, y = [], []
+    for a, b in rng.random((4000, 2)) < 0.3:
+        xs.append(np.array(sorted({*rng.integers(100, 3000, 40).tolist(), *([int(rng.integers(3))] if a else []), *([10 + int(rng.integers(3))] if b else [])})))
+        y.append(float(a and b))
+    y = np.array(y)
+    m = toxicity.train(xs[:3000], y[:3000], 4096)
+    at = [np.searchsorted(m.terms, x[np.isin(x, m.terms)]) for x in xs[3000:]]
+    assert ((m.scores(at) >= 0.5) == (y[3000:] > 0)).mean() > 0.99
+
+
+def test_margin_like_brute_force():
+    rng = np.random.default_rng(2)
+    m = toxicity.FactorizationMachine(64, np.arange(12), 0.3, rng.normal(size=12), rng.normal(size=(12, 3)))
+    docs = [np.array(sorted(rng.choice(12, k, replace=False)), np.int64) for k in (0, 1, 2, 5, 12)]
+    for x, got in zip(docs, m.scores(docs), strict=True):
+        pairs = sum(m.factors[a] @ m.factors[b] for a, b in itertools.combinations(x, 2))
+        assert got == pytest.approx(1 / (1 + math.exp(-(0.3 + m.weights[x].sum() + pairs / max(1, len(x))))))
+
+
 def test_toxicity_held_out():
     # Words of one kind mark the label in part of the documents; others are noise.
     rng = np.random.default_rng(1)
@@ -150,7 +172,7 @@ def test_toxicity_edges(spark):
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     got = toxicity.toxicity(docs, labels).collect()
     assert len(got) == 4 and all(0 <= r.score <= 1 for r in got) and got[0].score == got[1].score
-    assert toxicity.toxicity(docs, labels.limit(0)).where("score != 0.5").count() == 0
+    assert toxicity.toxicity(docs, labels.limit(0)).where("predicted != 0").count() == 0
     assert toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
@@ -520,6 +542,50 @@ def test_raking_meets_its_targets(spark):
     assert len(got) == 601 and mixing.mixed(df, list(targets), "tokens", targets).where("selected").count() == got["selected"].sum()
 
 
+def brute_raking(cells, targets, size, cap, rounds=400):
+    """Iterative proportional fitting by loops; with `cap` no cell holds more than its tokens."""
+    w = {c: n * size / sum(cells.values()) for c, n in cells.items()} if not cap else dict(cap)
+    held = lambda c: min(w[c], cells[c]) if cap else w[c]
+    for _ in range(rounds):
+        for k, t in enumerate(targets):
+            for v, share in t.items():
+                s = sum(held(c) for c in w if c[k] == v)
+                for c in w:
+                    if c[k] == v:
+                        w[c] *= share * size / s if s else 0
+    return {c: held(c) for c in w}
+
+
+def test_raking_like_brute_force(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"s{int(rng.integers(3))}", f"l{int(rng.integers(2))}", int(rng.integers(50, 200))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens int")
+    targets = [{"s0": 0.5, "s1": 0.3, "s2": 0.2}, {"l0": 0.6, "l1": 0.4}]
+    share = lambda t: spark.createDataFrame([(f"={k}", v) for k, v in t.items()], "value string, share double")
+    got = mixing.mixed(df, ["source", "lang"], "tokens", {"source": share(targets[0]), "lang": share(targets[1])}, rate=0.4).toPandas()
+    cells = Counter()
+    for _, a, b, n in rows:
+        cells[a, b] += n
+    want = brute_raking(cells, targets, sum(cells.values()), None)
+    sample = brute_raking(cells, targets, 0.4 * sum(cells.values()), {c: 0.4 * w for c, w in want.items()})
+    for (a, b), own in got.groupby(["source", "lang"]):
+        assert own["weight"].iloc[0] == pytest.approx(want[a, b] / cells[a, b], rel=1e-4)
+        assert own["probability"].iloc[0] == pytest.approx(sample[a, b] / cells[a, b], rel=1e-4)
+    assert got["gap"].max() < 1e-5 and got["gap"].nunique() == 1
+
+
+def test_targets_for_some_values_and_targets_that_cannot_be_met(spark):
+    rows = [(i, f"s{i % 4}", "l0" if i % 4 < 2 else "l1", 100) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, lang string, tokens int")
+    share = lambda t: spark.createDataFrame(list(t.items()), "value string, share double")
+    got = mixing.mixed(df, ["source"], "tokens", {"source": share({"=s0": 0.4, None: 0.6})}, rate=0.2).toPandas()
+    by = (got["tokens"] * got["probability"]).groupby(got["source"]).sum()
+    assert (by / by.sum()).round(4).to_dict() == {"s0": 0.4, "s1": 0.2, "s2": 0.2, "s3": 0.2}
+    # Sources fix the languages, at other shares than those asked for: the gap says so.
+    both = {"source": share({f"=s{k}": 0.25 for k in range(4)}), "lang": share({"=l0": 0.9, "=l1": 0.1})}
+    assert mixing.mixed(df, ["source", "lang"], "tokens", both, rate=0.2).first().gap > 0.1
+
+
 def test_mixing_edges(spark):
     kind = "doc_id long, source string, tokens int, weight int"
     assert mixing.mixed(spark.createDataFrame([], kind), ["source"], "tokens").count() == 0
@@ -546,6 +612,26 @@ def test_a_tiny_cell_does_not_set_the_size(spark, monkeypatch):
     assert np.allclose(again.sort_index(), got.set_index("doc_id")["probability"].sort_index(), rtol=1e-6)
 
 
+# Columns whose names clash, have dots, or differ from made ones in case only.
+
+
+def test_clashing_columns(spark):
+    kind = "doc_id long, text string, Score double, HELD_OUT int, N_LINES int, Weight double, Gap int, _d0 int, `a.b` int, tokens int, source string"
+    docs = spark.createDataFrame([(1, "a line that is long\nx", 1.0, 1, 1, 1.0, 1, 1, 7, 3, "s")], kind)
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    page = spark.createDataFrame([(1, "<article><p>x</p></article>", "old", 7)], "page_id long, html string, TEXT string, `a.b` int")
+    for got, made in (
+        (toxicity.toxicity(docs, labels), {"score", "held_out", "predicted"}),
+        (line_dedup.kept_lines(docs), {"n_lines", "n_dropped"}),
+        (mixing.mixed(docs, ["source"], "tokens"), {"weight", "probability", "gap", "selected"}),
+        (html_extract.extracted(page), {"text"}),
+    ):
+        names = [c.lower() for c in got.columns]
+        assert len(set(names)) == len(names) and made <= set(got.columns)
+        assert got.first()["a.b"] == 7
+    assert html_extract.extracted(page).first().text == "x"
+
+
 # Queries and pipeline.
 
 
@@ -582,6 +668,13 @@ def test_pipeline_stages_like_brute_force(spark):
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
     want = {i for i, *_, bad in brute_contamination(list(want.items()), items) if not bad}
     assert {r.doc_id for r in at.collect()} == want and at.columns == docs.columns
+    # Empty tables, null ids and further columns.
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), SF).count() == 0, name
+    odd = spark.createDataFrame([(None, None, None, None, None, 1), (None, "one two three", None, None, None, 2)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int")
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, odd, SF)
+        assert got.columns == odd.columns and got.count() == 2, name
     last = stages["mixing"](spark, at, SF)
     ids = [r.doc_id for r in last.collect()]
     assert len(ids) == len(set(ids)) and set(ids) <= want and len(ids) > 0.2 * len(want)
