@@ -23,6 +23,22 @@ SIGMAS = (0.7, 1.2, 2.0, 3.2, 5.0, 8.0, 12.0, 18.0)
 PATCH_SIDE = 33
 
 
+def geometries(meta: DataFrame) -> DataFrame:
+    """`meta` with `geometry`: frames of one camera, raster size and crop corner whose crops differ by a row or column at most, as
+    halved planes do, are alike. It is named after the largest crop that takes them in. `meta` has `make, model, raw_width,
+    raw_height, crop` (x, y, width, height)."""
+    own = ["make", "model", "raw_width", "raw_height"]
+    at = meta.withColumns({f"_c{i}": F.get("crop", F.lit(i)) for i in range(4)})
+    sizes = at.select(*own, *[f"_c{i}" for i in range(4)]).distinct()
+    # A size goes with the one that is larger by one in either direction, where that occurs.
+    grown = sizes.select(*own, "_c0", "_c1", (F.col("_c2") - 0).alias("w"), (F.col("_c3") - 0).alias("h"))
+    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (0, 1) for dy in (0, 1)]))
+    near = sizes.withColumn("s", steps).select(*own, *[f"_c{i}" for i in range(4)], (F.col("_c2") + F.col("s.dx")).alias("w"), (F.col("_c3") + F.col("s.dy")).alias("h"))
+    named = near.join(grown, [*own, "_c0", "_c1", "w", "h"]).groupBy(*own, *[f"_c{i}" for i in range(4)]).agg(F.max(F.struct("w", "h")).alias("g"))
+    name = F.concat_ws("/", *own, F.concat_ws(",", "_c0", "_c1", "g.w", "g.h"))
+    return at.join(named, [*own, *[f"_c{i}" for i in range(4)]]).withColumn("geometry", name).select(*meta.columns, "geometry")
+
+
 def preview_step(width: Column, height: Column) -> Column:
     """The even block size for which the long side has about 2048 blocks or fewer."""
     return (F.ceil(F.ceil(F.greatest(width, height) / 2048) / 2) * 2).cast("int")
@@ -470,8 +486,21 @@ def regions(stack: DataFrame, seed: tuple[float, float] = (-0.008, -6.0), grow:
     return stack.groupBy("target", "set").applyInPandas(one, f"target {kind['target']}, set int, region int, cells int, x double, y double, depth double")
 
 
-def uncovered(found: DataFrame, patches: DataFrame, key: str = "frame") -> DataFrame:
-    """Places without a patch over them: a spatial anti-join by `geometry` within 3.5 widths."""
-    p = patches.select(key, F.col("x").alias("cx"), F.col("y").alias("cy"), (3.5 * F.col("sigma")).alias("reach"))
-    near = (found[key] == p[key]) & (F.hypot(F.col("cx") - found["x"], F.col("cy") - found["y"]) <= F.col("reach"))
-    return found.join(p, near, "left_anti")
+def uncovered(found: DataFrame, patches: DataFrame, key: str = "frame", widths: float = 3.5, block: float = 64.0) -> DataFrame:
+    """Places `x, y` without a patch (`x, y, sigma`) of their `key` within `widths` of its widths: a spatial anti-join, by blocks
+    that each patch is given for all that it reaches."""
+    names = found.columns
+    near = lambda c, r: F.sequence(F.floor((F.col(c) - r) / block).cast("long"), F.floor((F.col(c) + r) / block).cast("long"))
+    reach = widths * F.col("sigma")
+    p = patches.select(F.col(key).alias("_k"), F.col("x").alias("_cx"), F.col("y").alias("_cy"), reach.alias("_reach"), F.explode(near("x", reach)).alias("_bx"), near("y", reach).alias("_by"))
+    p = p.withColumn("_by", F.explode("_by"))
+    at = found.withColumns({"_fx": F.floor(F.col("x") / block).cast("long"), "_fy": F.floor(F.col("y") / block).cast("long")})
+    met = (at[key] == p["_k"]) & (at["_fx"] == p["_bx"]) & (at["_fy"] == p["_by"]) & (F.hypot(F.col("_cx") - at["x"], F.col("_cy") - at["y"]) <= F.col("_reach"))
+    return at.join(p, met, "left_anti").select(*names)
+
+
+def overlap(found: DataFrame, patches: DataFrame, key: str = "frame", widths: float = 3.5) -> DataFrame:
+    """How many of the places of each `key` and `region` a patch covers: `key, region, cells, covered`."""
+    rest = uncovered(found, patches, key, widths).groupBy(key, "region").agg(F.count("*").alias("rest"))
+    every = found.groupBy(key, "region").agg(F.count("*").alias("cells"))
+    return every.join(rest, [key, "region"], "left").select(key, "region", "cells", (F.col("cells") - F.coalesce("rest", F.lit(0))).alias("covered"))

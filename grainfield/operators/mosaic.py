@@ -30,14 +30,42 @@ def cropped(samples: DataFrame, x0: int, y0: int, width: int, height: int) -> Da
     return samples.where(inside).withColumns({"x": F.col("x") - x0, "y": F.col("y") - y0})
 
 
-def split(samples: DataFrame, pattern: str = "RGGB", keep: tuple[str, ...] = PLANES) -> DataFrame:
-    """Samples with their plane, placed by cell; an odd last row or column goes. `keep` names the planes needed."""
-    names = PATTERNS[pattern]
+def split(samples: DataFrame, pattern: str | DataFrame = "RGGB", keep: tuple[str, ...] = PLANES) -> DataFrame:
+    """Samples with their plane, placed by cell; an odd last row or column goes. `keep` names the planes needed. `pattern` is
+    one for all frames, or a table `frame, cfa`."""
     size = samples.groupBy("frame").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
-    plane = F.get(F.array(*[F.lit(n) for n in names]), ((F.col("y") % 2) * 2 + F.col("x") % 2).cast("int"))
-    at = samples.drop("plane").withColumn("plane", plane).where(F.col("plane").isin(*keep)).join(size, "frame")
+    names = lambda of: F.array(*[F.lit(n) for n in of])
+    if isinstance(pattern, str):
+        of = names(PATTERNS[pattern])
+    else:
+        size = size.join(pattern.select("frame", "cfa"), "frame")
+        of = F.create_map(*[x for k, v in PATTERNS.items() for x in (F.lit(k), names(v))])[F.col("cfa")]
+    at = samples.drop("plane").join(size, "frame").withColumn("plane", F.get(of, ((F.col("y") % 2) * 2 + F.col("x") % 2).cast("int")))
     whole = (F.col("x") < F.col("w") - F.col("w") % 2) & (F.col("y") < F.col("h") - F.col("h") % 2)
-    return at.where(whole).select("frame", "plane", F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x"), "code")
+    return at.where(F.col("plane").isin(*keep) & whole).select("frame", "plane", F.expr("y div 2").cast("int").alias("y"), F.expr("x div 2").cast("int").alias("x"), "code")
+
+
+def plane_levels(meta: DataFrame) -> DataFrame:
+    """`frame, plane, width, height, black, white, profile` of each plane from `frame, width, height, cfa`, `blacks` and `whites` by
+    phase (one value: of all), and a noise `profile` of one pair of coefficients, or one per colour."""
+    phase = F.explode(F.arrays_zip(F.sequence(F.lit(0), F.lit(3)).alias("i"), F.create_map(*[x for k, v in PATTERNS.items() for x in (F.lit(k), F.array(*[F.lit(n) for n in v]))])[F.col("cfa")].alias("plane"))).alias("p")
+    at = meta.select("*", phase)
+    of = lambda c: F.get(c, F.when(F.size(c) > 1, F.col("p.i")).otherwise(0))
+    colour = F.when(F.col("p.plane") == "R", 0).when(F.col("p.plane") == "B", 2).otherwise(1)
+    profile = F.when(F.size("profile") == 6, F.slice("profile", 2 * colour + 1, 2)).otherwise(F.col("profile"))
+    return at.select(
+        "frame", F.col("p.plane").alias("plane"), F.expr("width div 2").cast("int").alias("width"), F.expr("height div 2").cast("int").alias("height"),
+        of("blacks").cast("double").alias("black"), of("whites").cast("int").alias("white"), profile.alias("profile"),
+    )
+
+
+#: Weights of the black-and-white preset of the channel mix.
+LUMA = [[0.299, 0.587, 0.114]] * 3
+
+
+def green_planes(green: str) -> tuple[str, ...]:
+    """The planes that a colour image needs: one green, or both for their average."""
+    return {"g1": ("R", "G1", "B"), "g2": ("R", "G2", "B"), "ga": PLANES}[green]
 
 
 def cells(planes: DataFrame, value: str = "code") -> DataFrame:

@@ -5,6 +5,7 @@ Everything but the coherent tails works on cumulative histograms, one row per fr
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -93,17 +94,19 @@ def supported_tail(samples: DataFrame, bounds: DataFrame, high: bool, p: Paramet
     )
 
 
-def protected_tail(samples: DataFrame, bounds: DataFrame, cdf: DataFrame, high: bool, sigma: Column | None = None, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """`bound` moved outwards to keep coherent tails, and the number of samples that support it."""
+def protected_tail(samples: DataFrame, bounds: DataFrame, cdf: DataFrame, high: bool, sigma: Callable[[Column], Column] | None = None, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """`bound` moved outwards to keep coherent tails, and the number of samples that support it. `sigma` gives the noise at a
+    code, from columns of `bounds`; the tail's own value moves by a margin of it."""
     found = supported_tail(samples, bounds, high, p, keys)
     f = 1 - p.coherent_tail_fraction if high else p.coherent_tail_fraction
     ranked = found.groupBy(*keys).agg(F.array_sort(F.collect_list("value")).alias("v"))
     ends = cdf.groupBy(*keys).agg(F.min("code").alias("lo"), F.max("code").alias("hi"))
-    value = F.get("v", F.floor((F.size("v") - 1) * F.lit(f)).cast("int"))
-    margin = F.lit(p.coherent_noise_margin) * F.coalesce(sigma if sigma is not None else F.lit(0.0), F.lit(0.0))
+    value = F.col("tail_value")
+    margin = F.lit(p.coherent_noise_margin) * F.coalesce(sigma(value) if sigma is not None else F.lit(0.0), F.lit(0.0))
     moved = F.greatest(F.least(value + margin, F.col("hi")), F.col("bound")) if high else F.least(F.greatest(value - margin, F.col("lo")), F.col("bound"))
     n = F.coalesce(F.size("v"), F.lit(0))
     out = bounds.join(ends, list(keys)).join(ranked, list(keys), "left").withColumn("n", F.when(F.col("v").isNull(), 0).otherwise(n))
+    out = out.withColumn("tail_value", F.get("v", F.floor((F.size("v") - 1) * F.lit(f)).cast("int")))
     return out.select(*keys, F.when(F.col("n") >= p.coherent_min_support, moved).otherwise(F.col("bound")).cast("double").alias("bound"), F.col("n").cast("long").alias("coherent"))
 
 
@@ -205,5 +208,3 @@ def range_report(cdf: DataFrame, ends: DataFrame, keys: tuple[str, ...] = KEYS)
         F.count("*").alias("occupied_codes"), F.count_if((code >= lower) & (code <= upper)).alias("retained_codes"), (-F.sum(p * F.log2(p))).alias("histogram_entropy_bits"),
     )
     return out.withColumns({"white_level_bits": F.log2(F.col("white") + 1.0), "retained_span_bits": F.log2(upper - lower + 1.0)})
-
-

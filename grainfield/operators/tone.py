@@ -151,6 +151,15 @@ def mapped(x: Column, exposure: Column, curve: Column, p: Parameters = Parameter
     return F.when(x <= 0, F.lit(0.0)).when(x >= 1, F.lit(1.0)).otherwise(out)
 
 
+def mapping_samples(fitted: DataFrame, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The mapping at the interior points of `mapping_steps` equal steps: `i, x, value`, and `text` at the parameters' decimals."""
+    x = F.col("i") / F.lit(float(p.mapping_steps))
+    at = fitted.select(*keys, "exposure", "curve", F.explode(F.sequence(F.lit(1), F.lit(p.mapping_steps - 1))).alias("i")).withColumn("x", x)
+    at = at.withColumn("value", mapped(F.col("x"), F.col("exposure"), F.col("curve"), p))
+    text = F.format_string(f"%.{p.mapping_input_decimals}f->%.{p.mapping_output_decimals}f", "x", "value")
+    return at.select(*keys, "i", "x", "value", text.alias("text"))
+
+
 def lookup_table(hist: DataFrame, fitted: DataFrame, function=None, policy: str = "clip", srgb: bool = False, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS) -> DataFrame:
     """A row per code that occurs: `value` (0..1 before the transfer) and `out` (16 bits).
 
@@ -171,17 +180,11 @@ def lookup_table(hist: DataFrame, fitted: DataFrame, function=None, policy: str
     return y.withColumn("out", F.round(shown * 65535).cast("int"))
 
 
-#: A table of this many rows or fewer is sent to all executors; larger ones are joined by their keys.
-BROADCAST_ROWS = 1 << 20
-
-
 def apply_table(samples: DataFrame, table: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """Samples with the `out` of their code."""
-    small = table.select(*keys, "code", "out")
-    if small.count() <= BROADCAST_ROWS:
-        return samples.join(F.broadcast(small), [*keys, "code"])
+    """Samples with the `out` of their code. The join's side is chosen by the table's size as Spark measures it; a hot code can be
+    split, since either side has an exchange of its own."""
     parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return samples.join(small.repartition(parts), [*keys, "code"])
+    return samples.join(table.select(*keys, "code", "out").repartition(parts), [*keys, "code"])
 
 
 def to_eight_bits(out: Column, from_srgb: bool, to_srgb: bool) -> Column:

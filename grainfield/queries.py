@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +11,8 @@ from .functions import expression as ex
 from .operators import defects, denoise, mosaic, noise, ranges, tone
 from .operators import histogram as hs
 from .params import Parameters
-from .sources import sinks, views
+from .sources import raw, sinks, views
+from .sources.shared import cut, shared_dir
 from .streaming import histograms
 
 QUERIES: dict = {}
@@ -42,7 +42,8 @@ SRGB = "CASE WHEN {0} <= 0.0031308 THEN 12.92 * {0} ELSE 1.055 * pow({0}, 1 / CA
 
 
 def _cdf(samples: DataFrame) -> DataFrame:
-    return hs.cumulative(hs.histogram(samples))
+    """Written once, as ranks and ends read it again and again."""
+    return cut(hs.cumulative(hs.histogram(samples)))
 
 
 def _meta(samples: DataFrame, black: int = BLACK, white: int = WHITE) -> DataFrame:
@@ -119,9 +120,10 @@ o AS (SELECT geometry, y, x, s, CASE WHEN abs(a) <= abs(b) THEN a ELSE b END AS
 
 @query(f"WITH {R2}, r AS (SELECT geometry, y, x, code - 32768 AS v FROM r2), {_MAD} SELECT geometry, y, x, median, round(CAST(list_sort(list_transform(s, lambda t: abs(t - median)))[(len(s) - 1) // 2 + 1] AS DOUBLE) * CAST(1.4826 AS DOUBLE), 6) AS spread, len(s) AS n FROM o")
 def q_stack_map(spark: SparkSession, d: str) -> DataFrame:
-    at = views.embedding_tiles(spark, d).select("geometry", "y", "x", (F.col("code") - 32768).alias("v"))
-    got = at.groupBy("geometry", "y", "x").agg(F.array_sort(F.collect_list("v")).alias("s")).withColumn("median", hs.nearer_zero_median(F.col("s")))
-    return got.select("geometry", "y", "x", "median", F.round(hs.conservative_mad(F.col("s"), F.col("median")), 6).alias("spread"), F.size("s").cast("long").alias("n"))
+    at = views.embedding_tiles(spark, d)
+    sets = at.select(F.col("geometry").alias("target"), F.lit(0).alias("set"), "frame").distinct()
+    got = defects.stacked(sets, at.select("frame", "y", "x", (F.col("code") - 32768).alias("value"), F.lit(True).alias("smooth")))
+    return got.select(F.col("target").alias("geometry"), "y", "x", "median", F.round("spread", 6).alias("spread"), F.col("n").cast("long").alias("n"))
 
 
 @query(
@@ -224,10 +226,25 @@ def q_range_report(spark: SparkSession, d: str) -> DataFrame:
 # Noise.
 
 
-@query()
+_HAAR = """h{k} AS (SELECT a.py, a.px, median(abs(CAST(a.code AS DOUBLE) - b.code - c.code + e.code) * 0.5) / CAST(0.6744897501960817 AS DOUBLE) AS h{k} FROM t a
+  JOIN t b ON b.py = a.py AND b.px = a.px AND b.r = a.r AND b.c = a.c + {k} JOIN t c ON c.py = a.py AND c.px = a.px AND c.r = a.r + {k} AND c.c = a.c JOIN t e ON e.py = a.py AND e.px = a.px AND e.r = a.r + {k} AND e.c = a.c + {k} GROUP BY ALL)"""
+_LAGS = (Parameters().noise_haar_lag_small, Parameters().noise_haar_lag_medium, Parameters().noise_haar_lag_large)
+
+
+@query(
+    f"""WITH {ONE}, z AS (SELECT max(x) + 1 AS w, max(y) + 1 AS h FROM ev),
+t AS (SELECT y - y % 16 AS py, x - x % 16 AS px, y % 16 AS r, x % 16 AS c, code FROM ev, z WHERE y - y % 16 + 16 <= h AND x - x % 16 + 16 <= w),
+m AS (SELECT py, px, avg(code) AS mean, sum(code * (c - CAST(7.5 AS DOUBLE))) / 5440 AS bx, sum(code * (r - CAST(7.5 AS DOUBLE))) / 5440 AS b_y, min(code) > 0 AND max(code) < {WHITE} AS fine FROM t GROUP BY ALL),
+s AS (SELECT t.py, t.px, median(abs(code - (mean + bx * (c - CAST(7.5 AS DOUBLE)) + b_y * (r - CAST(7.5 AS DOUBLE))))) / CAST(0.6744897501960817 AS DOUBLE) * sqrt(256 / CAST(253 AS DOUBLE)) AS sigma FROM t JOIN m USING (py, px) GROUP BY ALL),
+{', '.join(_HAAR.format(k=k) for k in _LAGS)}
+SELECT py, px, round(CASE WHEN fine THEN greatest(0, mean - {BLACK}) END, 6) AS signal, round(CASE WHEN fine THEN sigma * sigma END, 4) AS variance, round(CASE WHEN fine THEN sigma / greatest(h{_LAGS[0]}, sqrt(1 / CAST(12 AS DOUBLE))) END, 6) AS correlation,
+round(CASE WHEN fine THEN sigma / greatest(h{_LAGS[1]}, h{_LAGS[2]}, sqrt(1 / CAST(12 AS DOUBLE))) END, 6) AS texture, round(CASE WHEN fine THEN h{_LAGS[2]} / greatest(h{_LAGS[1]}, sqrt(1 / CAST(12 AS DOUBLE))) END, 6) AS growth
+FROM m JOIN s USING (py, px) {' '.join(f"JOIN h{k} USING (py, px)" for k in _LAGS)}"""
+)
 def q_noise_patches(spark: SparkSession, d: str) -> DataFrame:
     s = views.event_raster(spark, d)
-    return noise.measured(noise.patches(s, _meta(s)), _meta(s))
+    got = noise.measured(noise.patches(s, _meta(s)), _meta(s))
+    return got.select("py", "px", *[F.round(c, 4 if c == "variance" else 6).alias(c) for c in ("signal", "variance", "correlation", "texture", "growth")])
 
 
 @query()
@@ -333,9 +350,9 @@ def q_tone_density_smooth(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _curves(s: DataFrame) -> tuple[DataFrame, DataFrame]:
-    hist = hs.histogram(s)
-    cdf = hs.cumulative(hist)
-    fitted = tone.best_exposure(tone.midtones(cdf, _plain_range(s, cdf)), noise.no_noise())
+    hist = cut(hs.histogram(s))
+    cdf = cut(hs.cumulative(hist))
+    fitted = cut(tone.best_exposure(tone.midtones(cdf, _plain_range(s, cdf)), noise.no_noise()))
     return hist, tone.tone_curves(tone.smoothed(tone.dense(tone.density(hist, fitted))), fitted, noise.no_noise())
 
 
@@ -359,13 +376,50 @@ def q_tone_lut(spark: SparkSession, d: str) -> DataFrame:
 def q_linear_lut_stats(spark: SparkSession, d: str) -> DataFrame:
     """The flagship: histogram, ranks, range, table of values and output statistics."""
     s = views.event_raster(spark, d, "event_type")
-    hist = hs.histogram(s)
+    hist = cut(hs.histogram(s))
     cdf = hs.cumulative(hist)
     flat = _plain_range(s, cdf).withColumns({"exposure": F.lit(1.0), "curve": F.array().cast("array<double>")})
     table = tone.lookup_table(hist, flat, srgb=True)
     return table.groupBy("frame").agg(F.min("out").alias("min_out"), F.max("out").alias("max_out"), F.count_distinct("out").alias("occupied"), F.sum(F.col("n") * F.col("out")).alias("total"))
 
 
+@query(f"WITH {EV}, {CDF}, {_ENDS1}, k AS (SELECT a.frame, i, i / CAST(20 AS DOUBLE) AS x FROM a, range(1, 20) AS k(i)) SELECT frame, CAST(i AS INTEGER) AS i, x, round(3 * x / (1 + 2 * x), 9) AS value FROM k")
+def q_mapping_samples(spark: SparkSession, d: str) -> DataFrame:
+    s = views.event_raster(spark, d, "event_type")
+    at = _fitted(s, _cdf(s), 3.0).withColumn("curve", F.array().cast("array<double>"))
+    return tone.mapping_samples(at).select("frame", "i", "x", F.round("value", 9).alias("value"))
+
+
+@query(f"WITH {EV}, h AS (SELECT frame, code, count(*) AS n FROM ev GROUP BY ALL) SELECT frame, code, CAST(round(code / CAST(65535 AS DOUBLE) * 255) AS INTEGER) AS same, CAST(round(({SRGB.format('(code / CAST(65535 AS DOUBLE))')}) * 255) AS INTEGER) AS encoded FROM h")
+def q_eight_bits(spark: SparkSession, d: str) -> DataFrame:
+    at = hs.histogram(views.event_raster(spark, d, "event_type"))
+    return at.select("frame", "code", tone.to_eight_bits(F.col("code"), False, False).alias("same"), tone.to_eight_bits(F.col("code"), False, True).alias("encoded"))
+
+
+@query(f"WITH {EV}, l AS (SELECT frame, list_sort(list(code)) AS s FROM ev GROUP BY ALL) SELECT frame, s[len(s) // 5 + 1] AS lower_fifth, s[len(s) // 2 + 1] AS upper_middle FROM l")
+def q_list_ranks(spark: SparkSession, d: str) -> DataFrame:
+    lists = views.event_raster(spark, d, "event_type").groupBy("frame").agg(F.array_sort(F.collect_list("code")).alias("s"))
+    return lists.select("frame", hs.lower_fifth(F.col("s")).alias("lower_fifth"), hs.upper_middle(F.col("s")).alias("upper_middle"))
+
+
+@query(
+    "SELECT o_orderkey AS frame, p.plane, CAST(10 * ((o_orderkey + i) % 4 + 1) AS DOUBLE) AS black FROM orders, (VALUES (0, 'G1'), (1, 'B'), (2, 'R'), (3, 'G2')) AS p(i, plane)"
+)
+def q_plane_levels(spark: SparkSession, d: str) -> DataFrame:
+    o = views.read(spark, d, "orders").select(F.col("o_orderkey").alias("frame"), F.lit(8).alias("width"), F.lit(6).alias("height"), F.lit("GBRG").alias("cfa"), F.lit(None).cast("array<double>").alias("profile"))
+    o = o.withColumns({"blacks": F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: 10.0 * ((F.col("frame") + i) % 4 + 1)), "whites": F.array(F.lit(65535))})
+    return mosaic.plane_levels(o).select("frame", "plane", "black")
+
+
+@query(
+    "SELECT region, cells, cells - rest AS covered FROM (SELECT CAST(event_id // 1000 AS INTEGER) AS region, count(*) AS cells, count(*) FILTER (sqrt(pow(event_id // 100 % 20 - 10, 2) + pow(event_id % 100 % 20 - 10, 2)) > 7) AS rest FROM events WHERE event_id < 1000 GROUP BY ALL)"
+)
+def q_region_overlap(spark: SparkSession, d: str) -> DataFrame:
+    s = views.event_raster(spark, d).where("y < 10").withColumn("region", F.expr("y div 10").cast("int"))
+    grid = spark.range(5).select(F.lit("events").alias("frame"), (F.col("id") * 20 + 10).alias("x"), F.lit(10).alias("y"), F.lit(2.0).alias("sigma"))
+    return defects.overlap(s, grid).select("region", "cells", "covered")
+
+
 # Expressions: x is value / 600 of events, which lies above 0.
 
 
@@ -487,9 +541,17 @@ def q_gray6(spark: SparkSession, d: str) -> DataFrame:
     return got.select("method", "eligible", *[F.round(f"factor_{c}", 9).alias(f"factor_{c}") for c in "rgb"])
 
 
-@query()
+@query(
+    f"""WITH {ONE}, {_CELL}, {_NEUTRAL}, {_RGB}, i AS (SELECT *, CAST(r + g + b AS DOUBLE) AS t, least(r, g, b) >= 1 AND greatest(r, g, b) <= 65534 AS inside FROM p),
+s AS (SELECT count(*) AS n, count(*) FILTER (inside AND neutral) AS k, count(*) FILTER (inside) AS m, {', '.join(f"quantile_cont({c} / t, 0.5) FILTER (inside AND neutral) AS m{c}, pow(avg(pow({c} / CAST(65535 AS DOUBLE), 6)) FILTER (inside), 1 / CAST(6 AS DOUBLE)) AS p{c}" for c in 'rgb')} FROM i),
+w AS (SELECT *, k >= least(greatest(ceil(n / CAST(1000 AS DOUBLE)), 64), n) AS by_median FROM s),
+v AS (SELECT *, {', '.join(f"CASE WHEN by_median THEN m{c} ELSE p{c} END AS l{c}" for c in 'rgb')} FROM w)
+SELECT 'events' AS frame, CASE WHEN by_median THEN 'raw_neutral_chroma_median' WHEN m > 0 THEN 'shades_of_gray_6' END AS method, CASE WHEN by_median THEN k ELSE m END AS eligible,
+{', '.join(f"round(l{c}, 9) AS level_{c}, round(pow(least(lr, lg, lb) / l{c}, 0.5), 9) AS factor_{c}" for c in 'rgb')} FROM v"""
+)
 def q_natural_color(spark: SparkSession, d: str) -> DataFrame:
-    return mosaic.natural_color(_rgb(_neutral(_cells(spark, d))), 0.5)
+    got = mosaic.natural_color(_rgb(_neutral(_cells(spark, d))), 0.5)
+    return got.select("frame", "method", "eligible", *[F.round(f"{k}_{c}", 9).alias(f"{k}_{c}") for c in "rgb" for k in ("level", "factor")])
 
 
 @query(
@@ -633,14 +695,28 @@ def q_cell_votes(spark: SparkSession, d: str) -> DataFrame:
     return darkest.groupBy("geometry", F.col("m.cell").alias("cell")).agg(F.count_distinct("frame").alias("views")).where("views >= 3")
 
 
-@query()
+#: Four frames of five have their dip at cell (3, 3): more than chance puts there.
+_VOTES = f"""WITH {R2}, d AS (SELECT frame, geometry, arg_min(y * 8 + x, (code, y * 8 + x)) AS cell FROM r2 GROUP BY frame, geometry),
+a AS (SELECT frame, geometry, CASE WHEN frame % 5 <> 0 THEN 27 ELSE cell END AS cell FROM d),
+c AS (SELECT geometry, cell, CAST(cell % 8 AS DOUBLE) AS x, CAST(cell // 8 AS DOUBLE) AS y, count(*) AS images FROM a GROUP BY ALL),
+t AS (SELECT geometry, sum(images) AS total FROM c GROUP BY ALL),
+p AS (SELECT c.*, total, pi() * 0.5625 * (SELECT sum(images) FROM c o WHERE o.geometry = c.geometry AND abs(o.x - c.x) <= 1 AND abs(o.y - c.y) <= 1)
+  / (total * (least(x + 1, 8) - greatest(x - 1, 0)) * (least(y + 1, 8) - greatest(y - 1, 0))) AS p FROM c JOIN t USING (geometry)),
+l AS (SELECT *, ln(total) + lgamma(total) - lgamma(images) - lgamma(total - images + 1) + (images - 1) * ln(least(1, p)) AS log_chance FROM p WHERE images >= 3)
+SELECT geometry, x, y, images, images AS views, round(log_chance, 6) AS log_chance FROM l WHERE log_chance <= ln(CAST(0.01 AS DOUBLE))"""
+
+
+@query(_VOTES)
 def q_spot_votes(spark: SparkSession, d: str) -> DataFrame:
-    darkest = views.embedding_tiles(spark, d).groupBy("frame", "geometry").agg(F.min(F.struct("code", "y", "x")).alias("m"))
+    tiles = views.embedding_tiles(spark, d)
+    darkest = tiles.groupBy("frame", "geometry").agg(F.min(F.struct("code", (F.col("y") * 8 + F.col("x")).alias("cell"))).alias("m"))
+    cell = F.when(F.col("frame") % 5 != 0, 27).otherwise(F.col("m.cell"))
     seen = darkest.select(
-        "frame", "geometry", F.col("frame").alias("ordinal"), F.col("frame").cast("int").alias("view"), F.lit(8).alias("pw"), F.lit(8).alias("ph"), F.col("m.x").cast("double").alias("x"), F.col("m.y").cast("double").alias("y"),
-        F.lit(0.7).alias("sigma"), (F.col("m.code") / 65535).alias("fit_error"), F.array(F.lit(1.0)).alias("gain"),
+        "frame", "geometry", F.col("frame").alias("ordinal"), F.col("frame").cast("int").alias("view"), F.lit(8).alias("pw"), F.lit(8).alias("ph"), (cell % 8).cast("double").alias("x"),
+        F.floor(cell / 8).cast("double").alias("y"), F.lit(0.7).alias("sigma"), (F.col("m.code") / 65535).alias("fit_error"), F.array(F.lit(1.0)).alias("gain"),
     )
-    return defects.confirmed_spots(seen, chance=1e300)
+    got = defects.confirmed_spots(seen)
+    return got.select("geometry", "x", "y", F.col("images").cast("long").alias("images"), F.col("views").cast("long").alias("views"), F.round("log_chance", 6).alias("log_chance"))
 
 
 @query(
@@ -654,27 +730,27 @@ def q_apply_gain(spark: SparkSession, d: str) -> DataFrame:
     return defects.applied(s, gains, _meta(s), 1.5).select("y", "x", "code", "fixed")
 
 
+def _dust_cells(spark: SparkSession) -> DataFrame:
+    s = views.dust_scenes(spark)
+    return defects.preview(s, _meta(s, 0))
+
+
 @query()
 def q_residuals(spark: SparkSession, d: str) -> DataFrame:
-    s = views.event_raster(spark, d)
-    return defects.residuals(defects.preview(s, _meta(s)), 4.0).drop("frame")
+    return defects.residuals(_dust_cells(spark), 4.0)
 
 
 @query()
 def q_candidates(spark: SparkSession, d: str) -> DataFrame:
-    s = views.event_raster(spark, d)
-    return defects.candidates(defects.preview(s, _meta(s))).drop("gain")
+    return defects.candidates(_dust_cells(spark)).drop("gain")
 
 
 # Inputs, joins between frames and reports.
 
 
-@query("SELECT source, lang, CAST(row_number() OVER (ORDER BY source, lang) - 1 AS INTEGER) AS ordinal FROM (SELECT DISTINCT source, lang FROM documents)")
+@query("SELECT path, CAST(row_number() OVER (ORDER BY path) - 1 AS INTEGER) AS ordinal FROM (SELECT DISTINCT concat_ws('/', source, lang) AS path FROM documents)")
 def q_input_dedupe(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    paths = views.read(spark, d, "documents").select("source", "lang").dropDuplicates()
-    return paths.withColumn("ordinal", F.row_number().over(Window.orderBy("source", "lang")) - 1)
+    return raw.numbered(views.read(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path")))
 
 
 @query(f"WITH {_SIG} SELECT frame FROM e f WHERE EXISTS (SELECT 1 FROM e t WHERE t.geometry = f.geometry AND t.frame % 100 = 0 AND abs(t.frame - f.frame) <= 16)")
@@ -687,12 +763,8 @@ def q_neighbour_semi(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ONE}, p AS (SELECT x, y FROM ev WHERE x % 20 = 10 AND y % 20 = 10) SELECT y, x FROM ev WHERE NOT EXISTS (SELECT 1 FROM p WHERE sqrt(pow(p.x - ev.x, 2) + pow(p.y - ev.y, 2)) <= 7)")
 def q_uncovered_anti(spark: SparkSession, d: str) -> DataFrame:
-    s = views.event_raster(spark, d).withColumns({"cy": F.expr("y div 20"), "cx": F.expr("x div 20")})
-    # A patch covers places of its own block of 20 and of the blocks beside it: places join by blocks.
-    spots = s.where("x % 20 = 10 and y % 20 = 10").select(F.col("x").alias("px"), F.col("y").alias("py"), F.explode(F.expr("transform(sequence(-1, 1), i -> cy + i)")).alias("cy"), "cx")
-    spots = spots.select("px", "py", "cy", F.explode(F.expr("transform(sequence(-1, 1), i -> cx + i)")).alias("cx"))
-    near = (s["cy"] == spots["cy"]) & (s["cx"] == spots["cx"]) & (F.hypot(F.col("px") - F.col("x"), F.col("py") - F.col("y")) <= 7)
-    return s.join(spots, near, "left_anti").select("y", "x")
+    s = views.event_raster(spark, d)
+    return defects.uncovered(s, s.where("x % 20 = 10 and y % 20 = 10").withColumn("sigma", F.lit(2.0)), block=20.0).select("y", "x")
 
 
 @query(f"WITH {EV} SELECT frame, grouping(frame) AS totals, count(*) AS n, min(code) AS low, max(code) AS high FROM ev GROUP BY ROLLUP (frame)")
@@ -706,9 +778,9 @@ def q_output_names(spark: SparkSession, d: str) -> DataFrame:
     return views.read(spark, d, "pages").groupBy(name.alias("name")).agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"SELECT CAST(to_json(t) AS VARCHAR) AS value FROM ({ORACLE_SQL['q_tail_values']}) t")
 def q_json_report(spark: SparkSession, d: str) -> DataFrame:
-    return sinks.json_report(q_range_report(spark, d))
+    return sinks.json_report(q_tail_values(spark, d))
 
 
 @query()
@@ -721,8 +793,7 @@ def q_png(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {EV} SELECT frame, code, count(*) AS n FROM ev GROUP BY ALL")
 def q_stream_histogram(spark: SparkSession, d: str) -> DataFrame:
     """Extension: the histogram of a stream of files is that of the table."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="grainfield-")
-    own = f"{shared.rstrip('/')}/grainfield-stream-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    own = f"{shared_dir(spark).rstrip('/')}/grainfield-stream-{spark.sparkContext.applicationId}-{abs(hash(d))}"
     batch = views.read(spark, d, "events")
     source = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(d)
 

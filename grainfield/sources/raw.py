@@ -17,13 +17,13 @@ _KINDS = {1: ("B", 1), 2: ("s", 1), 3: ("H", 2), 4: ("I", 4), 5: ("II", 8), 6: (
 TAGS = {
     "subfile": 254, "width": 256, "height": 257, "bits": 258, "compression": 259, "photometric": 262, "make": 271, "model": 272, "offsets": 273, "orientation": 274, "samples": 277,
     "counts": 279, "subifds": 330, "cfa_dim": 33421, "cfa": 33422, "exposure": 33434, "f_number": 33437, "exif": 34665, "iso": 34855, "standard_sensitivity": 34865, "recommended_index": 34866,
-    "iso_speed": 34867, "aperture_apex": 37378, "focal": 37386, "lens": 42036, "black": 50714, "white": 50717, "crop_origin": 50719, "crop_size": 50720, "neutral": 50728, "active": 50829, "noise": 51041,
+    "iso_speed": 34867, "aperture_apex": 37378, "focal": 37386, "lens": 42036, "black": 50714, "white": 50717, "crop_origin": 50719, "crop_size": 50720, "neutral": 50728, "active": 50829, "black_dim": 50713, "noise": 51041,
 }
 _NAMES = {v: k for k, v in TAGS.items()}
 LETTERS = "RGB"
 
 META = (
-    "make string, model string, width int, height int, orientation int, bits int, black double, blacks array<double>, white int, crop array<int>, iso int, exposure struct<n:bigint,d:bigint>, "
+    "make string, model string, width int, height int, orientation int, bits int, black double, blacks array<double>, whites array<int>, white int, crop array<int>, iso int, exposure struct<n:bigint,d:bigint>, "
     "f_number struct<n:bigint,d:bigint>, aperture_apex double, focal double, lens string, cfa string, neutral array<double>, profile array<double>"
 )
 
@@ -81,7 +81,25 @@ def _number(v) -> float | None:
 
 def decode(raw: bytes, no_crop: bool = False) -> Frame:
     """The one-sample raster of a DNG or TIFF, uncompressed at 8 to 16 bits, with its metadata. Rows of fewer than
-    16 bits are packed from the highest bit, each padded to whole bytes."""
+    16 bits are packed from the highest bit, each padded to whole bytes. A file with parts that are missing, of another
+    type or out of bounds is a `RawError`.
+
+    The pattern, and with it `blacks` and `whites` (a value for each of the four phases), are those of the cropped raster: an
+    odd crop origin turns them. Black levels repeat from the active area's corner."""
+    try:
+        return _decoded(raw, no_crop)
+    except (LookupError, TypeError, ValueError, ArithmeticError, struct.error) as e:
+        raise e if isinstance(e, RawError) else RawError(f"malformed file: {e}") from e
+
+
+def _phases(values: tuple, rows: int, columns: int, y0: int, x0: int) -> list:
+    """A pattern's value at each of the four phases of a cell whose corner lies at (y0, x0)."""
+    if rows * columns != len(values):
+        raise RawError("a pattern has another number of values than its dimensions say")
+    return [values[(y0 + y) % rows * columns + (x0 + x) % columns] for y in (0, 1) for x in (0, 1)]
+
+
+def _decoded(raw: bytes, no_crop: bool) -> Frame:
     order = {b"II": "<", b"MM": ">"}.get(raw[:2])
     if not order or len(raw) < 8 or struct.unpack_from(order + "H", raw, 2)[0] != 42:
         raise RawError("not a TIFF file")
@@ -113,7 +131,6 @@ def decode(raw: bytes, no_crop: bool = False) -> Frame:
         raise RawError("black and white levels are out of order")
     orientation = int(top.get("orientation", (1,))[0])
     pattern = main.get("cfa")
-    cfa = "".join(LETTERS[p] if p < 3 else "?" for p in pattern[:4]) if pattern else None
     origin, size = tag("crop_origin"), tag("crop_size")
     crop = [int(_number(v) or 0) for v in (*origin, *size)] if origin and size else None
     if crop:
@@ -122,6 +139,20 @@ def decode(raw: bytes, no_crop: bool = False) -> Frame:
             raise RawError("the crop lies outside the raster")
     if crop and not no_crop:
         codes = codes[crop[1] : crop[1] + crop[3], crop[0] : crop[0] + crop[2]]
+    left, top_row = (crop[0], crop[1]) if crop and not no_crop else (0, 0)
+    cfa, phase_blacks, whites = None, None, None
+    if pattern:
+        cells = _phases(pattern[:4], 2, 2, top_row, left)
+        if sorted(cells) != [0, 1, 1, 2]:
+            raise RawError("a cell needs a red, two green and a blue sample")
+        cfa = "".join(LETTERS[c] for c in cells)
+        area = tag("active", (0, 0))
+        rows, columns = tag("black_dim", (1, 1) if len(blacks) == 1 else (2, 2))
+        phase_blacks = _phases(tuple(blacks[: rows * columns]), rows, columns, top_row - area[0], left - area[1])
+        levels = [int(_number(v) or 0) for v in tag("white", ((1 << bits) - 1,))]
+        whites = [levels[c] if len(levels) == 3 else levels[0] for c in cells]
+        if any(not 0 <= b < w <= 65535 for b, w in zip(phase_blacks, whites, strict=True)):
+            raise RawError("black and white levels are out of order")
     codes = gathered(codes, orientation) if cfa is None else codes
     iso = next((int(v) for k in ("iso_speed", "standard_sensitivity", "recommended_index") if (v := exif.get(k, (0,))[0])), None)
     legacy = exif.get("iso", (0,))[0]
@@ -131,7 +162,7 @@ def decode(raw: bytes, no_crop: bool = False) -> Frame:
         profile = None
     meta = {
         "make": top.get("make", (None,))[0], "model": top.get("model", (None,))[0], "width": codes.shape[1], "height": codes.shape[0], "orientation": orientation, "bits": bits, "black": black,
-        "blacks": blacks, "white": white, "crop": crop, "iso": iso or (int(legacy) if 0 < legacy < 65535 else None), "exposure": pair("exposure"), "f_number": pair("f_number"),
+        "blacks": phase_blacks or blacks, "whites": whites, "white": white, "crop": crop, "iso": iso or (int(legacy) if 0 < legacy < 65535 else None), "exposure": pair("exposure"), "f_number": pair("f_number"),
         "aperture_apex": _number(exif["aperture_apex"][0]) if "aperture_apex" in exif else None, "focal": _number(exif["focal"][0]) if "focal" in exif else None, "lens": exif.get("lens", (None,))[0],
         "cfa": cfa, "neutral": [_number(v) or 0.0 for v in top["neutral"]] if "neutral" in top else None, "profile": list(profile) if profile and len(profile) in (2, 6) else None,
     }
@@ -149,33 +180,72 @@ def gathered(codes: np.ndarray, orientation: int) -> np.ndarray:
     return np.ascontiguousarray(codes)
 
 
+#: Files taken as raw frames, and characters that make a path a pattern.
+RAW_FILE, PATTERN = r"\.(dng|arw)$", "*?[]{}\\"
+
+
+def resolved(spark: SparkSession, paths: list[str]) -> list[str]:
+    """Files and folders that `paths` name. A path that exists is itself, whatever its characters; else it is a pattern, in
+    which `*` and `?` keep to one level, with regard to case, and meet no leading dot. One that meets nothing is an error."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    out = []
+    for text in paths:
+        path = jvm.org.apache.hadoop.fs.Path(text)
+        files = path.getFileSystem(conf)
+        if files.exists(path):
+            out.append(files.makeQualified(path).toString())
+            continue
+        found = [x.getPath() for x in files.globStatus(path) or []] if any(c in text for c in PATTERN) else []
+        parts = text.rstrip("/").split("/")
+        dotted = lambda f, parts=parts: any(n.startswith(".") and not w.startswith(".") for n, w in zip(f.toString().split("/")[-len(parts) :], parts, strict=False) if w)
+        found = sorted(f.toString() for f in found if not dotted(f))
+        if not found:
+            raise FileNotFoundError(text)
+        out += found
+    return list(dict.fromkeys(out))
+
+
+def _listed(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Raw files in order to be read: folders with all that is below them, hidden files left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("__globPaths__", "false").load(resolved(spark, paths))
+    return files.where(F.lower("path").rlike(RAW_FILE) & ~F.element_at(F.split("path", "/"), -1).startswith("."))
+
+
+def numbered(files: DataFrame, path: str = "path") -> DataFrame:
+    """Each path once, with `ordinal` in path order. Paths alone meet in one task, as they do in any listing."""
+    return files.dropDuplicates([path]).withColumn("ordinal", F.row_number().over(Window.orderBy(path)) - 1)
+
+
 def discovered(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Raw files under paths, directories and globs, once each, with `ordinal` in path order. None at all is an error.
-    Listing is the only step that orders all files, by path and without their content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).select("path", "length", "modificationTime")
-    files = files.where(F.lower("path").rlike(r"\.(dng|arw|tif|tiff)$") & ~F.element_at(F.split("path", "/"), -1).startswith(".")).dropDuplicates(["path"])
+    """Raw files under paths, directories and globs, once each, with `ordinal` in path order. None at all is an error."""
+    files = _listed(spark, paths).select("path", "length", "modificationTime")
     if files.isEmpty():
         raise FileNotFoundError(f"no raw files in {paths}")
-    return files.withColumn("ordinal", F.row_number().over(Window.orderBy("path")) - 1)
+    return numbered(files)
+
 
+#: Rows of a raster that make up one row of `frames`.
+BAND = 256
 
-def frames(spark: SparkSession, paths: list[str], no_crop: bool = False) -> DataFrame:
-    """A row per file: `frame` (path), `meta`, `rows array<array<int>>` and `error`; files that can't be read have only
-    the latter."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(paths).where(F.lower("path").rlike(r"\.(dng|arw|tif|tiff)$")).select("path", "content")
+
+def frames(spark: SparkSession, paths: list[str], no_crop: bool = False, band: int = BAND) -> DataFrame:
+    """Rows per file: `frame` (path), `meta`, `top` and `rows array<array<int>>` for each `band` raster rows from `top` on,
+    so that a row stays small; a file that can't be read has one row with its `error` alone."""
+    files = _listed(spark, paths).select("path", "content").dropDuplicates(["path"])
 
     def batches(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in them:
-            out = []
             for path, content in zip(f["path"], f["content"], strict=True):
                 try:
                     got = decode(bytes(content), no_crop)
-                    out.append((path, got.meta, [r.tolist() for r in got.codes], None))
                 except RawError as e:
-                    out.append((path, None, None, str(e)))
-            yield pd.DataFrame(out, columns=["frame", "meta", "rows", "error"])
+                    yield pd.DataFrame([(path, None, None, None, str(e))], columns=["frame", "meta", "top", "rows", "error"])
+                    continue
+                for top in range(0, len(got.codes), band):
+                    yield pd.DataFrame([(path, got.meta, top, list(got.codes[top : top + band]), None)], columns=["frame", "meta", "top", "rows", "error"])
 
-    return files.mapInPandas(batches, f"frame string, meta struct<{_struct(META)}>, rows array<array<int>>, error string")
+    return files.mapInPandas(batches, f"frame string, meta struct<{_struct(META)}>, top int, rows array<array<int>>, error string")
 
 
 def _struct(schema: str) -> str:
@@ -189,8 +259,19 @@ def _struct(schema: str) -> str:
 
 def samples(read: DataFrame) -> DataFrame:
     """`frame, plane, y, x, code` of frames that could be read."""
-    at = read.where("error is null").select("frame", F.posexplode("rows").alias("y", "r"))
-    return at.select("frame", F.lit("mono").alias("plane"), "y", F.posexplode("r").alias("x", "code"))
+    at = read.where("error is null").select("frame", "top", F.posexplode("rows").alias("y", "r"))
+    return at.select("frame", F.lit("mono").alias("plane"), (F.col("top") + F.col("y")).alias("y"), F.posexplode("r").alias("x", "code"))
+
+
+def metadata(read: DataFrame) -> DataFrame:
+    """`frame` and its metadata as columns, a row per frame that could be read."""
+    return read.where("error is null and top = 0").select("frame", "meta.*")
+
+
+def outcome(read: DataFrame) -> DataFrame:
+    """One row: `files`, `failed`, and `status` of a batch, 0 if all could be read, 1 if some could not, 2 without any."""
+    got = read.where("error is not null or top = 0").agg(F.count("*").alias("files"), F.count("error").alias("failed"))
+    return got.withColumn("status", F.when((F.col("files") == 0) | (F.col("files") == F.col("failed")), 2).when(F.col("failed") > 0, 1).otherwise(0))
 
 
 def written(codes: np.ndarray, bits: int = 16, big: bool = False, tags: dict[str, tuple[int, tuple]] | None = None) -> bytes:

@@ -90,6 +90,25 @@ def json_report(rows: DataFrame) -> DataFrame:
     return rows.select(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("value"))
 
 
+def json_lines(rows: DataFrame, folder: str, order: str = "ordinal") -> None:
+    """JSON lines in order of `order`, which isn't written: files in that order, each with lines in it."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = rows.repartitionByRange(parts, order).sortWithinPartitions(order)
+    kept = [c for c in rows.columns if c != order]
+    at.select(F.to_json(F.struct(*kept), {"ignoreNullFields": "false"}).alias("value")).write.mode("errorifexists").text(folder)
+
+
+def published(files: DataFrame, folder: str, overwrite: bool = False) -> DataFrame:
+    """`write_files` after checks of all of them: no two outputs of one name, and with every content there, so that nothing is
+    published of a batch that can't be published as a whole."""
+    twice = duplicate_outputs(files).limit(5).collect()
+    if twice:
+        raise ValueError(f"outputs meet: {', '.join(r['name'] for r in twice)}")
+    if not files.where("content is null").isEmpty():
+        raise ValueError("an output has no content")
+    return write_files(files, folder, overwrite)
+
+
 VERSION = 1
 
 

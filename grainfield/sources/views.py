@@ -39,3 +39,16 @@ def price_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("frame"), F.lit("mono").alias("plane"), coded(F.col("o_totalprice") / 8).alias("code"))
+
+
+def dust_scenes(spark: SparkSession, frames: int = 4, height: int = 240, width: int = 320) -> DataFrame:
+    """Planted dust: smooth scenes that differ by frame, a dark spot that moves with the scene, and two dips that stay."""
+    at = spark.range(frames * height * width).select(
+        F.expr(f"id div {height * width}").alias("k"), F.expr(f"id % {height * width} div {width}").cast("int").alias("y"), (F.col("id") % width).cast("int").alias("x")
+    )
+    k, y, x = (F.col(c).cast("double") for c in ("k", "y", "x"))
+    log = -1.2 + (0.1 + 0.05 * k) * x / width - (0.3 - 0.1 * k) * y / height + 0.2 * F.sin(k + x / 40) * F.cos(k + y / 50)
+    spot = lambda px, py, sigma, depth: depth * F.exp(-((x - px) * (x - px) + (y - py) * (y - py)) / (2 * sigma * sigma))
+    log = log - spot(40 + 60 * k, 60, 4.0, 0.25) - spot(180.5, 150.5, 3.0, 0.3) - spot(260.5, 90.5, 3.0, 0.3)
+    code = F.least(F.greatest(F.round(F.exp(log) * 60000), F.lit(0)), F.lit(65535)).cast("int")
+    return at.select(F.col("k").alias("frame"), F.lit("mono").alias("plane"), "y", "x", code.alias("code"))
