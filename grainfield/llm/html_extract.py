@@ -34,15 +34,18 @@ MAIN = {"article", "main"}
 WHOLE = {"html", "body", "article", "main"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 PART_WORDS = set(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer disqus "
+    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus "
     "footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notification overlay pagination pager popup promo promotion related "
     "replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe subscription teaser toolbar widget".split()
 )
+# Words of names that say nothing about a part's kind; those that an article's own opening may have; and elements like them.
+NEUTRAL_WORDS = set("area bar block box container content group inner item js left list main outer page reader right section site top user wrap wrapper".split())
+OPENING_WORDS, OPENING = {"header", "masthead", "banner"}, {"header"}
 PART_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form", "menu", "menubar"}
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:"[^"]*+"|'[^']*+'|[^'">])*+)(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_PLAIN = re.compile(r"[a-z]+")
+_PLAIN, _HUMPS = re.compile(r"[a-z]+"), re.compile(r"([a-z])([A-Z])")
 
 
 @dataclass
@@ -54,6 +57,7 @@ class Block:
     linked: int
     main: bool
     part: bool
+    named: float
     heading: bool
     item: bool
     label: str | None = None
@@ -64,23 +68,29 @@ class _Open:
     tag: str
     main: bool
     part: bool
+    named: float
     label: str | None
 
 
 @lru_cache(maxsize=1 << 14)
-def _marks(tag: str, attributes: str) -> tuple[bool, bool, str | None]:
-    """Whether an element names main text, names another part of a page, and its label (in training pages)."""
-    main, part, label = tag in MAIN, tag in PARTS, None
+def _marks(tag: str, attributes: str, within: bool) -> tuple[bool, bool, float, str | None]:
+    """Whether an element names main text, whether its tag or role names another part of a page, how much of a name of its
+    does so (of the words of one class or id that say anything), and its label (in training pages). Within main
+    text a header is its opening."""
+    main, part, named, label = tag in MAIN, tag in PARTS and not (within and tag in OPENING), 0.0, None
     if attributes:
         for name, *values in _NAMED.findall(attributes):
-            words = _PLAIN.findall("".join(values).lower())
             if name.lower() == "role":
+                words = _PLAIN.findall("".join(values).lower())
                 main, part = main or "main" in words, part or not PART_ROLES.isdisjoint(words)
             elif tag not in WHOLE:
-                part = part or not PART_WORDS.isdisjoint(words)
+                for one in "".join(values).split():
+                    words = [w for w in _PLAIN.findall(_HUMPS.sub(r"\1 \2", one).lower()) if w not in NEUTRAL_WORDS]
+                    meant = PART_WORDS - OPENING_WORDS if within else PART_WORDS
+                    named = max(named, sum(w in meant for w in words) / max(1, len(words)))
         if m := re.search(r"data-is=(\w+)", attributes):
             label = m[1]
-    return main, part, label
+    return main, part, named, label
 
 
 def blocks(page: str) -> list[Block]:
@@ -89,15 +99,18 @@ def blocks(page: str) -> list[Block]:
     stack: list[_Open] = []
     parts: list[tuple[str, bool]] = []
     links = silent = 0
+    # An inline element that is a part by its whole name, and how many of its tag are open within it: its text breaks no block.
+    aside, depth = "", 0
 
     def flush() -> None:
-        nonlocal parts
+        nonlocal parts, aside
+        aside = ""
         if parts:
             text = " ".join("".join(t for t, _ in parts).split())
             if text:
-                top = stack[-1] if stack else _Open("", False, False, None)
+                top = stack[-1] if stack else _Open("", False, False, 0.0, None)
                 linked = sum(len(t.split()) for t, on in parts if on)
-                out.append(Block(text, text.count(" ") + 1, linked, top.main, top.part, any(o.tag in HEADINGS for o in stack[-3:]), any(o.tag == "li" for o in stack[-3:]), top.label))
+                out.append(Block(text, text.count(" ") + 1, linked, top.main, top.part, top.named, any(o.tag in HEADINGS for o in stack[-3:]), any(o.tag == "li" for o in stack[-3:]), top.label))
             parts = []
 
     def close(tag: str) -> None:
@@ -121,7 +134,7 @@ def blocks(page: str) -> list[Block]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         text = page[at : m.start() if m else len(page)]
-        if text and not silent:
+        if text and not silent and not aside:
             parts.append((html.unescape(text), links > 0))
         if not m:
             break
@@ -129,6 +142,9 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if aside and tag == aside:
+            depth += -1 if m[1] else 1
+            aside = aside if depth else ""
         if m[1]:
             if tag == "a":
                 links = max(0, links - 1)
@@ -142,6 +158,8 @@ def blocks(page: str) -> list[Block]:
         elif tag == "br" or tag == "img":
             parts.append((" ", False))
         if tag in INLINE:
+            if tag not in VOID and not aside and _marks(tag, m[3], False)[2] == 1:
+                aside, depth = tag, 1
             continue
         if tag in RAW:
             # Its text is no markup and ends at its own end tag only; it breaks no block.
@@ -158,22 +176,22 @@ def blocks(page: str) -> list[Block]:
             close("head")
         if tag in ENDS:
             end_open(ENDS[tag], TABLE_BOUNDS if tag in TABLE_TAGS else BOUNDS)
-        main, part, label = _marks(tag, m[3])
-        above = stack[-1] if stack else _Open("", False, False, None)
-        stack.append(_Open(tag, above.main or main, above.part or part, label or above.label))
+        above = stack[-1] if stack else _Open("", False, False, 0.0, None)
+        main, part, named, label = _marks(tag, m[3], above.main)
+        stack.append(_Open(tag, above.main or main, above.part or part, max(above.named, named), label or above.label))
         silent += tag in SILENT
     flush()
     return out
 
 
-FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "in_part", "heading", "item")
+FEATURES = ("words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after", "in_main", "in_part", "part_name", "heading", "item")
 
 
 def features(them: list[Block]) -> np.ndarray:
     n = len(them)
     out = np.zeros((n, len(FEATURES)))
     for i, b in enumerate(them):
-        out[i, 0], out[i, 1], out[i, 6:] = b.words, b.linked / b.words, (b.main, b.part, b.heading, b.item)
+        out[i, 0], out[i, 1], out[i, 6:] = b.words, b.linked / b.words, (b.main, b.part, b.named, b.heading, b.item)
     out[1:, 2:4], out[:-1, 4:6] = out[:-1, :2], out[1:, :2]
     return out
 
@@ -262,6 +280,11 @@ def labelled_pages() -> list[str]:
             out.append(f"<article data-is=main>{para(k, 30)}</article><footer data-is=other>{_words(k + 4)}</footer><div class=ad data-is=other>{para(3 * k, 21, 60)}</div>")
             out.append(f"<nav data-is=other>{para(k + 9)}</nav><article data-is=main>{para(20)}</article><footer data-is=other>{_words(k + 12)}</footer>")
             out.append(f"<div class=sidebar data-is=other>{para(40, k, 90)}</div><div data-is=main>{para(50, 70)}</div><footer data-is=other>{_words(k + 17)}</footer>")
+        # Names that speak of a part and of something else; openings of articles; discussions under other names.
+        out.append(f"<article data-is=main><div class='header-wrap'><h1>{_words(6)}</h1>{para(*sizes)}</div>{para(20, 9)}</article><section id='reader-discussion' data-is=other>{para(12, 33, 4)}</section>")
+        out.append(f"<div class='legal-analysis' data-is=main><h1>{_words(8)}</h1>{para(30, *sizes, 45)}</div><div class='legal-notice' data-is=other>{para(30, 12)}</div>")
+        out.append(f"<article class='post menu-engineering' data-is=main><header><h1>{_words(5)}</h1><p>{_words(12)}</p></header>{para(*sizes)}<div class='search-results-explained'>{para(26, 8)}</div></article>")
+        out.append(f"<header class='site-header' data-is=other>{para(9)}</header><div class='shareholder cookie-recipes' data-is=main>{para(40, 15, *sizes, 33)}</div><div class='social-share' data-is=other>{para(4, 18)}</div>")
         out.append(f"<div data-is=other>{_words(6)}</div><main data-is=main>{para(*sizes)}</main><div data-is=other>{_words(8)}</div>")
         out.append(f"<div data-is=other>{_words(5)}</div><div data-is=other><ul>{links(5, 2)}</ul></div><div data-is=main>{para(45, 6, 90, 30, 3, 60)}{para(20, 16, 22)}</div><div data-is=other><ul>{links(2, 20)}</ul><p><a href=x>{_words(35)}</a> {_words(5)}</p></div><div data-is=other><a href=x>{_words(3)}</a> <a href=x>{_words(2)}</a></div><div data-is=other>{_words(4)}</div>")
     return out
