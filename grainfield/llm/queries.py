@@ -112,7 +112,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.concat_ws("/", "source", "lang").alias("repository"), F.col("source").alias("owner"))
+    # Documents stand for repositories and sources for their owners.
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.col("doc_id").alias("repository"), F.col("source").alias("owner"))
     got = secrets.secrets(docs)
     said = lambda s: F.array_join(F.transform(s, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     many = lambda part, name: F.size(F.filter("spans", lambda x: x[part] == name)).cast("long").alias(f"n_{name}")
@@ -126,6 +127,34 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _found_sql(kind: str, pattern: str, group: int, least: int) -> str:
+    """Matches of a pattern with their spans, in SQL: what lies before a match are the gaps and matches before it."""
+    return f"""SELECT doc_id, source, '{kind}' AS kind, i, v AS value, coalesce(CAST(list_sum(list_transform(gaps[:i], lambda x: length(x))) AS BIGINT), 0) + coalesce(CAST(list_sum(list_transform(found[:i - 1], lambda x: length(x))) AS BIGINT), 0) AS start, length(w) AS n
+  FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i, unnest(found) AS w, unnest(vals) AS v FROM (SELECT doc_id, source, string_split_regex(t, '{pattern}') AS gaps, regexp_extract_all(t, '{pattern}') AS found, regexp_extract_all(t, '{pattern}', {group}) AS vals
+    FROM (SELECT doc_id, source, coalesce(text, '') AS t FROM documents) WHERE regexp_matches(t, '{pattern}'))) WHERE length(v) >= {least}"""
+
+
+_KINDS_SQL = " UNION ALL ".join(_found_sql(k, p.replace("'", "''"), g, n) for k, p, g, n in secrets.BASE)
+_BARE_SQL = _found_sql("reuse", secrets.BARE, 0, 12)
+OP5_SQL = rf"""
+WITH base AS (SELECT *, start + n AS stop, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS place FROM ({_KINDS_SQL})),
+judged AS (SELECT value, CASE WHEN count(DISTINCT coalesce(source, '')) > 2 OR count(DISTINCT doc_id) > 4 THEN 'example'
+  WHEN len(list_distinct(string_split(value, ''))) >= 8 THEN 'live' ELSE 'weak' END AS verdict FROM base GROUP BY value),
+runs AS (SELECT doc_id, start, regexp_replace(value, '\.+$', '') AS kept FROM ({_BARE_SQL})),
+tails AS (SELECT DISTINCT doc_id, start + skip AS start, start + length(kept) AS stop, substr(kept, skip + 1) AS value FROM (
+  SELECT *, unnest([0, length(kept) - length(string_split(kept, '=')[-1]), length(kept) - length(string_split(kept, '/')[-1])]) AS skip FROM runs)),
+reuse AS (SELECT t.* FROM tails t JOIN judged j ON j.value = t.value AND j.verdict = 'live' WHERE length(t.value) >= 12 AND regexp_matches(t.value, '[0-9]') AND regexp_matches(t.value, '[A-Za-z]')
+  AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = t.doc_id AND b.start < t.stop AND t.start < b.stop)),
+widest AS (SELECT * FROM reuse t WHERE NOT EXISTS (SELECT 1 FROM reuse o WHERE o.doc_id = t.doc_id AND o.start < t.start AND o.stop >= t.stop)),
+spans AS (SELECT doc_id, kind, start, stop, place, verdict FROM base JOIN judged USING (value) UNION ALL SELECT doc_id, 'reuse', start, stop, 3, 'live' FROM widest),
+said AS (SELECT *, kind || ':' || start || ':' || stop AS said FROM spans),
+out AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, string_agg(said, ',' ORDER BY start, place) FILTER (kind <> 'reuse') AS base,
+  string_agg(said, ',' ORDER BY start, place) AS spans, count(*) FILTER (verdict = 'live') AS n_live, count(*) FILTER (verdict = 'example') AS n_example FROM said GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN out o USING (doc_id)
+"""
+
+
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.stupid_backoff(table(spark, sf_dir, "documents"), order=3, leave_out=True)
 
@@ -190,6 +219,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
     "op4_line_dedup": OP4_SQL,
+    "op5_secret_scan": OP5_SQL,
     "op8_near_dup": OP8_SQL,
     "op9_decontaminate": OP9_SQL,
     "op10_metric_join": OP10_SQL,

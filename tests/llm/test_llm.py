@@ -249,6 +249,13 @@ def test_secret_owners(spark):
     rows = [(0, f"token={live}", "r0", "o0"), (1, f"see {live} here", "r1", "o0"), (2, "nothing", "r1", "o0")] + [(10 + k, f"secret: {example}", f"r{k}", f"o{k}") for k in range(4)]
     got = {r.doc_id: [(s.kind, s.verdict) for s in r.spans] for r in secrets.secrets(spark.createDataFrame(rows, DOCS + ", repository string, owner string")).collect()}
     assert got[0] == [("assign", "live")] and got[1] == [("reuse", "live")] and got[2] == [] and got[10] == [("assign", "example")]
+    # Many repositories of one owner make an example too; a live value is found at the end of a path, an option or a sentence.
+    wide = [(20 + k, f"token = {live}x", f"q{k}", "o9") for k in range(6)]
+    bare = [(30, f"see AWS_KEY={live}", "r1", "o0"), (31, f"https://host.example/{live}", "r1", "o0"), (32, f"it is {live}. And", "r1", "o0"), (33, f"not x{live}", "r1", "o0")]
+    rows = [(0, f"token={live}", "r0", "o0"), *wide, *bare]
+    got = {r.doc_id: [(s.kind, s.verdict, s.start, s.end) for s in r.spans] for r in secrets.secrets(spark.createDataFrame(rows, DOCS + ", repository string, owner string")).collect()}
+    assert got[20] == [("assign", "example", 0, 8 + len(live) + 1)] and got[33] == []
+    assert [got[k] for k in (30, 31, 32)] == [[("reuse", "live", a, a + len(live))] for a in (12, 21, 6)]
     none = spark.createDataFrame([(None, f"token={live}", None, None), (None, f"token={live}", None, None)], DOCS + ", repository string, owner string")
     assert [len(r.spans) for r in secrets.secrets(none).collect()] == [1, 1]
 
