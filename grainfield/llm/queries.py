@@ -135,7 +135,7 @@ def _found_sql(kind: str, pattern: str, group: int, least: int) -> str:
 
 
 _KINDS_SQL = " UNION ALL ".join(_found_sql(k, p.replace("'", "''"), g, n) for k, p, g, n in secrets.BASE)
-_BARE_SQL = _found_sql("reuse", secrets.BARE, 0, 12)
+_BARE_SQL = _found_sql("reuse", "[A-Za-z0-9+/_.=-]{12,}", 0, 12)
 OP5_SQL = rf"""
 WITH base AS (SELECT *, start + n AS stop, CASE kind WHEN 'assign' THEN 0 WHEN 'access' THEN 1 ELSE 2 END AS place FROM ({_KINDS_SQL})),
 judged AS (SELECT value, CASE WHEN count(DISTINCT coalesce(source, '')) > 2 OR count(DISTINCT doc_id) > 4 THEN 'example'

@@ -13,9 +13,9 @@ BASE = (
     ("access", r"AKIA[A-Z0-9]{14,}", 0, 18),
     ("hex", r"[0-9a-f]{16,}", 0, 16),
 )
-#: A run of the value alphabet; what is bare in it is looked up as well: the run without dots at its end, and what comes after
-#: its last `=` or `/`, if a digit and a letter are in it.
-BARE = r"[A-Za-z0-9+/_.=-]{12,}"
+#: A whole run of the value alphabet with a digit and a letter; what is bare in it is looked up as well: the run without dots at
+#: its end, and what comes after its last `=` or `/`.
+BARE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.=-]*[0-9])(?=[0-9+/_.=-]*[A-Za-z])[A-Za-z0-9+/_.=-]{12,}"
 KINDS = [k for k, *_ in BASE] + ["reuse"]
 
 
