@@ -451,6 +451,115 @@ def residuals(cells: DataFrame, sigma: float = 16.0, key: str = "frame") -> Data
     return cells.groupBy(key).applyInPandas(one, f"`{key}` {kind}, y int, x int, value double, smooth boolean")
 
 
+def plane_levels(values: np.ndarray, mask: np.ndarray, sigma: float) -> np.ndarray:
+    """The level at each cell of the plane through the masked cells around it, with Gaussian weights; NaN where they carry
+    less than a fiftieth of the weight or don't spread enough in both directions to fix a plane."""
+    r = math.ceil(3 * sigma)
+    d = np.arange(-r, r + 1)
+    k = np.exp(-0.5 * (d / sigma) ** 2)
+    k /= k.sum()
+
+    def moment(img: np.ndarray, *orders: int) -> np.ndarray:
+        for axis, order in enumerate(orders):
+            wide = np.pad(img, [(r, r) if a == axis else (0, 0) for a in (0, 1)])
+            img = sum(w * np.take(wide, range(i, i + img.shape[axis]), axis=axis) for i, w in enumerate(k * d**order))
+        return img
+
+    middle = values[mask].mean() if mask.any() else 0.0
+    powers = [(0, 0), (0, 1), (1, 0)]
+    ones, signal = mask.astype(float), np.where(mask, values - middle, 0.0)
+    seen: dict[tuple[int, int], np.ndarray] = {}
+    normal = np.empty((*mask.shape, 3, 3))
+    for i, a in enumerate(powers):
+        for j, b in enumerate(powers):
+            order = (a[0] + b[0], a[1] + b[1])
+            if order not in seen:
+                seen[order] = moment(ones, *order)
+            normal[..., i, j] = seen[order]
+    s = np.maximum(seen[0, 0], 1e-12)
+    mx, my = seen[0, 1] / s, seen[1, 0] / s
+    extent = (seen[0, 2] / s - mx * mx) * (seen[2, 0] / s - my * my) - (seen[1, 1] / s - mx * my) ** 2
+    fixed = (seen[0, 0] > 0.02) & (extent > (0.15 * sigma * sigma) ** 2)
+    out = np.full(mask.shape, np.nan)
+    if fixed.any():
+        right = np.stack([moment(signal, *a) for a in powers], axis=-1)[fixed]
+        out[fixed] = np.linalg.solve(normal[fixed], right[..., None])[:, 0, 0] + middle
+    return out
+
+
+def thickness(mask: np.ndarray, most: int) -> int:
+    """How many erosions by the four neighbours empty a mask, at most `most`; what lies beyond its border is outside."""
+    depth = 0
+    while depth < most and mask.any():
+        wide = np.pad(mask, 1)
+        mask = mask & wide[:-2, 1:-1] & wide[2:, 1:-1] & wide[1:-1, :-2] & wide[1:-1, 2:]
+        depth += 1
+    return depth
+
+
+def _tiles(img: np.ndarray, side: int) -> np.ndarray:
+    """`(rows, columns, side * side)` of an image; NaN where tiles reach beyond it."""
+    h, w = (-(-n // side) * side for n in img.shape)
+    wide = np.full((h, w), np.nan)
+    wide[: img.shape[0], : img.shape[1]] = img
+    return wide.reshape(h // side, side, w // side, side).swapaxes(1, 2).reshape(h // side, w // side, side * side)
+
+
+#: Broad levels: cells a side, background's width, largest step from it in the background, tolerated range in grains and at least.
+BROAD, BROAD_SIGMA, BROAD_BOUND, BROAD_GRAINS, BROAD_RANGE = 4, 12.0, 0.006, 3.0, 0.03
+
+
+def _quiet(span: np.ndarray, level: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Whether each cell's span is within that of grain at its brightness: the lower fifth of whole cells of its octave, or of the
+    nearest octave that has 20."""
+    octave = np.clip(np.floor(level / math.log(2) + 11), 0, 11).astype(int)
+    fifth = lambda v: np.sort(v)[len(v) // 5] if len(v) else 0.0
+    grain = {o: fifth(span[whole & (octave == o)]) for o in range(12) if (whole & (octave == o)).sum() >= 20}
+    rest = fifth(span[whole])
+    limits = [max(BROAD_GRAINS * (grain[min(grain, key=lambda g: (abs(g - o), g))] if grain else rest), BROAD_RANGE) for o in range(12)]
+    return span <= np.array(limits)[octave]
+
+
+def broad_levels(cells: DataFrame, residuals: DataFrame, key: str = "frame") -> DataFrame:
+    """Levels of `BROAD` x `BROAD` preview cells: `key, y, x, level` (log of the mean), `value` (level over a plane of the smooth cells around
+    it, in steps of 1/2048; 0 where none can be fixed), `smooth`. `cells` is a preview, `residuals` that of the same frames.
+
+    A cell is smooth where three quarters of its preview cells are, and their range about their own plane isn't beyond grain. The
+    background is fitted three times, twice without what is off the one before. Preview cells that are missing aren't smooth."""
+    kind = cells.select(key).schema[0].dataType.simpleString()
+
+    def one(f: pd.DataFrame) -> pd.DataFrame:
+        h, w = int(f["py"].max()) + 1, int(f["px"].max()) + 1
+        img, flag = np.full((h, w), 0.0007), np.zeros((h, w))
+        img[f["py"], f["px"]], flag[f["py"], f["px"]] = f["v"], f["smooth"]
+        v, flags = _tiles(img, BROAD), _tiles(flag, BROAD)
+        here = ~np.isnan(v)
+        n = here.sum(axis=2)
+        logs = np.log(np.maximum(v, 0.0007))
+        flat = logs - np.nanmean(logs, axis=2, keepdims=True)
+        for at in np.indices((h, w)).astype(float):
+            c = _tiles(at, BROAD)
+            c -= np.nanmean(c, axis=2, keepdims=True)
+            square = np.nansum(c * c, axis=2)
+            # Rows and columns of a cell are orthogonal, so that one slope doesn't change the other.
+            flat = flat - c * (np.nansum(c * logs, axis=2) / np.where(square > 0, square, 1))[..., None]
+        span = np.nanmax(flat, axis=2) - np.nanmin(flat, axis=2)
+        level = np.log(np.maximum(np.nanmean(v, axis=2), 0.0007))
+        share = np.nansum(flags, axis=2) / n
+        smooth = (share >= 0.75) & _quiet(span, level, share == 1)
+        base = plane_levels(level, smooth, BROAD_SIGMA)
+        for _ in range(2):
+            base = plane_levels(level, smooth & (np.abs(level - base) <= BROAD_BOUND), BROAD_SIGMA)
+        smooth &= ~np.isnan(base)
+        value = np.where(smooth, np.clip(np.round((level - base) * 2048), -16383, 16383) / 2048, 0.0)
+        y, x = (i.ravel() for i in np.indices(level.shape))
+        return pd.DataFrame({key: f[key].iloc[0], "y": y, "x": x, "level": level.ravel(), "value": value.ravel(), "smooth": smooth.ravel()})
+
+    flags = residuals.select(key, F.col("y").alias("py"), F.col("x").alias("px"), "smooth")
+    met = cells.select(key, "py", "px", "v").join(flags, [key, "py", "px"], "left").withColumn("smooth", F.coalesce("smooth", F.lit(False)))
+    return met.groupBy(key).applyInPandas(one, f"`{key}` {kind}, y int, x int, level double, value double, smooth boolean")
+
+
 def regions(stack: DataFrame, seed: tuple[float, float] = (-0.008, -6.0), grow: tuple[float, float] = (-0.004, -3.0), least: int = 4) -> DataFrame:
     """Connected dark regions of stacks (8 neighbours): cells beyond `grow` around a cell beyond `seed`, as median and
     median over spread: `target, set, region, cells, x, y, depth`."""

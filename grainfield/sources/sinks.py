@@ -52,6 +52,61 @@ def rendered_png(samples: DataFrame, value: str = "out", srgb: bool = False) ->
     return samples.select("frame", "plane", "y", "x", value).groupBy("frame", "plane").applyInPandas(one, f"frame {kinds['frame']}, plane {kinds['plane']}, png binary")
 
 
+def _entries(tags: dict[int, tuple[int, tuple]], at: int) -> bytes:
+    """A little-endian TIFF directory that starts at byte `at`, followed by those of its values that take more than four bytes."""
+    after, head, tail = at + 6 + 12 * len(tags), struct.pack("<H", len(tags)), b""
+    for tag, (kind, values) in sorted(tags.items()):
+        packed = b"".join(v if isinstance(v, bytes) else struct.pack({3: "<H", 4: "<I", 5: "<II"}[kind], *np.atleast_1d(v)) for v in values)
+        n = len(packed) if kind in (2, 7) else len(values)
+        if len(packed) > 4:
+            tail, packed = tail + packed + b"\0" * (len(packed) % 2), struct.pack("<I", after + len(tail))
+        head += struct.pack("<HHI", tag, kind, n) + packed.ljust(4, b"\0")
+    return head + b"\0\0\0\0" + tail
+
+
+def exif(meta: dict, width: int, height: int, channels: int = 1, bits: int = 16, srgb: bool = False) -> bytes:
+    """EXIF 2.32 of an upright image: camera, lens and exposure as far as `meta` (a row of `raw.META`) has them, and the image's
+    own size, depth, channels and colour space. A speed beyond 65534 is left out, as are texts that are empty."""
+    text = lambda v: (2, (v.encode() + b"\0",)) if v else None
+    ratio = lambda v: (5, ((int(v["n"]), int(v["d"])),)) if v and v["d"] and max(v["n"], v["d"]) < 1 << 32 else None
+    # Batches have numbers as floating point where one of them is null, and null as NaN.
+    focal, iso = meta.get("focal"), meta.get("iso")
+    iso = int(iso) if iso is not None and iso == iso else None
+    # EXIF tag numbers, with the codes for an upright image, its channels and its colour space.
+    inner = {
+        33434: ratio(meta.get("exposure")), 33437: ratio(meta.get("f_number")), 34855: (3, (iso,)) if iso and 0 < iso < 65535 else None, 36864: (7, (b"0232",)),
+        37121: (7, (b"\1\0\0\0" if channels == 1 else b"\4\5\6\0",)), 37386: (5, ((round(focal * 1000), 1000),)) if focal and 0 < focal < 4e6 else None,
+        40961: (3, (1 if srgb else 65535,)), 40962: (4, (width,)), 40963: (4, (height,)), 42036: text(meta.get("lens")),
+    }
+    outer = {
+        256: (4, (width,)), 257: (4, (height,)), 258: (3, (bits,) * channels), 262: (3, (1 if channels == 1 else 2,)), 271: text(meta.get("make")), 272: text(meta.get("model")),
+        274: (3, (1,)), 277: (3, (channels,)), 305: text("grainfield"), 34665: (4, (0,)),
+    }
+    inner, outer = ({k: v for k, v in tags.items() if v} for tags in (inner, outer))
+    start = 8 + len(_entries(outer, 8))
+    return b"II*\0\x08\0\0\0" + _entries(outer | {34665: (4, (start,))}, 8) + _entries(inner, start)
+
+
+def described(images: DataFrame, meta: DataFrame, srgb: bool = False) -> DataFrame:
+    """`images` (`frame, plane, png`) with an EXIF chunk each, from the row of `meta` (columns of `raw.META` and `frame`) of their frame.
+    Images without such a row get size and colour space alone."""
+    known = [c for c in ("make", "model", "lens", "iso", "exposure", "f_number", "focal") if c in meta.columns]
+
+    def batches(them: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in them:
+            done = []
+            for raw, row in zip(f["png"], f["about"], strict=True):
+                width, height, bits, color = struct.unpack_from(">IIBB", raw, 16)
+                chunk = _chunk(b"eXIf", exif(row or {}, width, height, 3 if color == 2 else 1, bits, srgb))
+                done.append(raw[:33] + chunk + raw[33:])  # after the header
+            yield f.assign(png=done)[["frame", "plane", "png"]]
+
+    kinds = {f.name: f.dataType.simpleString() for f in images.schema}
+    about = meta.groupBy("frame").agg(F.first(F.struct(*known)).alias("about"))
+    made = images.select("frame", "plane", "png").join(about, "frame", "left")
+    return made.mapInPandas(batches, f"frame {kinds['frame']}, plane {kinds['plane']}, png binary")
+
+
 def output_name(path: Column, mode: Column | None = None, plane: Column | None = None, suffix: str = "png") -> Column:
     """The output for an input: its relative path in the folder of its mode, with the plane before the extension."""
     stem = F.regexp_replace(path, r"\.[^./]*$", "")

@@ -2,6 +2,8 @@
 
 import math
 import random
+import struct
+import zlib
 from dataclasses import replace
 
 import numpy as np
@@ -367,6 +369,79 @@ def test_png_and_files(spark, tmp_path):
     assert np.array_equal(sinks.read_png((tmp_path / "auto" / "x.png").read_bytes()), gray)
 
 
+def test_exif(spark):
+    about = {"make": "Maker", "model": "M", "lens": "35 mm", "iso": 640, "exposure": {"n": 1, "d": 250}, "f_number": {"n": 28, "d": 10}, "focal": 35.5}
+    for channels in (1, 3):
+        blob = sinks.exif(about, 40, 30, channels, srgb=channels == 3)
+        outer, after = raw._directory(blob, struct.unpack_from("<I", blob, 4)[0], "<")
+        inner, _ = raw._directory(blob, outer["exif"][0], "<")
+        assert (outer["make"], outer["model"], outer["width"], outer["height"], outer["orientation"], after) == (("Maker",), ("M",), (40,), (30,), (1,), 0)
+        assert outer["bits"] == (16,) * channels and outer["samples"] == (channels,) and outer["photometric"] == (1 if channels == 1 else 2,)
+        assert (inner["iso"], inner["exposure"], inner["f_number"], inner["focal"], inner["lens"]) == ((640,), ((1, 250),), ((28, 10),), ((35500, 1000),), ("35 mm",))
+    nothing = sinks.exif({"iso": 102400, "make": "", "exposure": {"n": 1, "d": 0}}, 1, 1)
+    outer, _ = raw._directory(nothing, 8, "<")
+    assert "make" not in outer and not {"iso", "exposure", "focal"} & set(raw._directory(nothing, outer["exif"][0], "<")[0])
+
+    gray = np.arange(12).reshape(3, 4)
+    images = sinks.rendered_png(frame(spark, gray, "a").unionAll(frame(spark, gray + 1, "b")), "code")
+    about = spark.createDataFrame([("a", "Maker", 100)], "frame string, make string, iso int")
+    got = {r["frame"]: bytes(r["png"]) for r in sinks.described(images, about).collect()}
+    assert np.array_equal(sinks.read_png(got["a"]), gray) and np.array_equal(sinks.read_png(got["b"]), gray + 1)
+    at = {k: v.index(b"eXIf") for k, v in got.items()}
+    tags = {k: raw._directory(got[k][i + 4 :], 8, "<")[0] for k, i in at.items()}
+    assert tags["a"]["make"] == ("Maker",) and "make" not in tags["b"] and tags["b"]["width"] == (4,)
+    for k, i in at.items():
+        size = struct.unpack_from(">I", got[k], i - 4)[0]
+        assert zlib.crc32(got[k][i : i + 4 + size]) == struct.unpack_from(">I", got[k], i + 4 + size)[0] and i < got[k].index(b"IDAT")
+
+
+def test_plane_levels_like_least_squares():
+    rng = np.random.default_rng(5)
+    values, mask = rng.normal(size=(14, 17)) + np.indices((14, 17))[1], rng.random((14, 17)) < 0.6
+    mask[:, 12:] = False
+    got = defects.plane_levels(values, mask, 2.0)
+    y, x = np.nonzero(mask)
+    for cy, cx in ((0, 0), (6, 7), (13, 4), (9, 11)):
+        dy, dx = y - cy, x - cx
+        w = np.exp(-(dy**2 + dx**2) / 8.0) * (np.abs(dy) <= 6) * (np.abs(dx) <= 6)
+        design = np.stack([np.ones(len(y)), dy, dx], axis=1)
+        want = np.linalg.lstsq(design * np.sqrt(w)[:, None], values[mask] * np.sqrt(w), rcond=None)[0][0]
+        assert got[cy, cx] == pytest.approx(want)
+    assert np.isnan(got[5, 16]) and np.isnan(defects.plane_levels(values, np.zeros_like(mask), 2.0)).all()
+    line = np.zeros((14, 17), bool)
+    line[7] = True  # a line of cells doesn't fix a plane
+    assert np.isnan(defects.plane_levels(values, line, 2.0)).all()
+
+
+def test_thickness():
+    box = np.zeros((12, 12), bool)
+    box[3:8, 2:9] = True
+    assert [defects.thickness(box, n) for n in (1, 9)] == [1, 3]
+    assert defects.thickness(np.ones((3, 9), bool), 9) == 2 and defects.thickness(np.zeros((3, 3), bool), 9) == 0
+
+
+def test_broad_levels(spark):
+    import pandas as pd
+
+    rng = np.random.default_rng(6)
+    h, w = 162, 203  # the last tiles are cut
+    y, x = np.indices((h, w))
+    ramp = np.exp(-1 - 0.002 * x + 0.001 * y)
+    shade = 1 - 0.02 * (np.hypot(y - 80, x - 100) < 16)
+    img = ramp * shade * (1 + rng.normal(0, 0.001, (h, w)))
+    cells = spark.createDataFrame(pd.DataFrame({"frame": 1, "py": y.ravel(), "px": x.ravel(), "v": img.ravel()}))
+    rough = (y < 20) & (x < 20)
+    flags = spark.createDataFrame(pd.DataFrame({"frame": 1, "y": y.ravel(), "x": x.ravel(), "value": 0.0, "smooth": ~rough.ravel()}))
+    got = defects.broad_levels(cells, flags).toPandas().set_index(["y", "x"])
+    assert len(got) == 41 * 51
+    assert got.loc[(20, 25), "value"] == pytest.approx(math.log(0.98), abs=0.004)
+    assert abs(got.loc[(20, 45), "value"]) < 0.002 and abs(got.loc[(40, 50), "value"]) < 0.002
+    assert not got.loc[(1, 1), "smooth"] and got.loc[(1, 1), "value"] == 0 and got.loc[(30, 30), "smooth"]
+    assert got.loc[(3, 40), "level"] == pytest.approx(math.log(img[12:16, 160:164].mean()))
+    assert defects.broad_levels(cells.limit(0), flags).count() == 0
+    assert not defects.broad_levels(cells, flags.limit(0)).where("smooth").count()
+
+
 # Many frames.
 
 
