@@ -139,6 +139,12 @@ def bilinear(img: np.ndarray, x, y) -> np.ndarray:
     return (img[y0, x0] * (1 - tx) + img[y0, x1] * tx) * (1 - ty) + (img[y1, x0] * (1 - tx) + img[y1, x1] * tx) * ty
 
 
+def smoothed(img: np.ndarray, x, y, step: float) -> np.ndarray:
+    """Samples averaged lightly with those `step` away."""
+    taps = [(-1, 0.2), (0, 0.6), (1, 0.2)]
+    return sum(wa * wb * bilinear(img, x + a * step, y + b * step) for a, wa in taps for b, wb in taps)
+
+
 def darkness(img: np.ndarray, sigma: float) -> np.ndarray:
     """How much darker a small box is than a large one around it, relative to the large; 0 near edges and extremes."""
     h, w = img.shape
@@ -211,9 +217,7 @@ def _gain(img: np.ndarray, x: float, y: float, s: float, fit) -> np.ndarray:
     u = np.linspace(-3.5, 3.5, PATCH_SIDE)
     v, u = np.meshgrid(u, u, indexing="ij")
     back = sum(c * b for c, b in zip(fit[3], (1.0, u, v, u * u, u * v, v * v), strict=True))
-    step = min(0.2 * s, 1.0)
-    taps = [(-1, 0.2), (0, 0.6), (1, 0.2)]
-    seen = sum(wa * wb * bilinear(img, x + u * s + a * step, y + v * s + b * step) for a, wa in taps for b, wb in taps)
+    seen = smoothed(img, x + u * s, y + v * s, min(0.2 * s, 1.0))
     taper = np.clip(3.5 - np.hypot(u, v), 0, 1)
     return np.clip(back - np.log(np.maximum(seen, 0.0007)) - 0.5 * fit[2], 0, min(2 * fit[0], MAX_LOG_GAIN)) * taper * taper * (3 - 2 * taper)
 

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from grainfield.functions import expression as ex
-from grainfield.operators import defects, denoise, histogram, mosaic, noise, ranges, tone
+from grainfield.operators import defects, denoise, histogram, mosaic, noise, ranges, shapes, tone
 from grainfield.params import BOUNDS, Parameters
 from grainfield.sources import raw, sinks
 
@@ -442,6 +442,59 @@ def test_broad_levels(spark):
     assert not defects.broad_levels(cells, flags.limit(0)).where("smooth").count()
 
 
+def fiber(h=180, w=220, noise=0.0015):
+    """A preview with a curved dark thread on a slope."""
+    rng = np.random.default_rng(8)
+    y, x = np.indices((h, w))
+    path = np.abs(y - 90 - 6 * np.sin((x - 85) / 14)) < 2
+    shadow = np.where(path & (x > 85) & (x < 125), 0.12, 0.0)
+    soft = defects.gaussian(shadow, 0.8)
+    return np.exp(-1 - 0.001 * x - soft + rng.normal(0, noise, (h, w))), soft
+
+
+def test_irregular_shapes(spark):
+    import pandas as pd
+
+    img, soft = fiber()
+    got = shapes.shapes_of(img)
+    assert 1 <= len(got) <= 3
+    best = max(got, key=lambda g: sum(g["gain"]))
+    assert abs(best["x"] - 105) < 4 and abs(best["y"] - 90) < 6 and 0.1 < best["amplitude"] < 0.2
+    # The gain undoes the shadow.
+    gain = np.array(best["gain"]).reshape(best["side"], best["side"])
+    at = [((y, x), defects.bilinear(gain, np.array([(x - best["left"]) / best["spacing"]]), np.array([(y - best["top"]) / best["spacing"]]))[0]) for y, x in zip(*np.nonzero(soft > 0.08), strict=True)]
+    assert np.median([abs(g - soft[k]) for k, g in at]) < 0.02
+    assert not shapes.shapes_of(np.exp(-1 + np.random.default_rng(9).normal(0, 0.0015, (180, 220))))
+    y, x = np.indices(img.shape)
+    cells = spark.createDataFrame(pd.DataFrame({"frame": 3, "py": y.ravel(), "px": x.ravel(), "v": img.ravel()}))
+    rows = shapes.shapes(cells).collect()
+    assert [(r.frame, r.side) for r in rows] == [(3, g["side"]) for g in got] and rows[0].gain == pytest.approx(got[0]["gain"])
+    assert not shapes.shapes(cells.limit(0)).collect()
+
+
+def test_regions_of_peaks():
+    score = np.zeros((40, 60))
+    score[10, 10:30] = 0.01
+    score[10, 20] = 0.03
+    score[30, 5:8] = 0.05
+    peaks = np.array([(0.05, 30, 6), (0.03, 10, 20), (0.01, 10, 12)])
+    assert shapes.proposals(score, peaks) == [(10, 10, 20, 1)]
+
+
+def test_sharpened_spots(spark):
+    side = 9
+    y, x = np.indices((side, side))
+    dot = (np.hypot(y - 4, x - 4) <= 2) * 0.1
+    far = dot.copy()
+    far[0, 0] = 0.1
+    row = lambda sx, sy, s, depth, gain: ({"x": sx, "y": sy, "sigma": s, "depth": depth}, {"left": 10.0, "top": 20.0, "spacing": 1.0, "side": side, "gain": gain})
+    rows = [row(14.0, 24.0, 3.0, 1.0, dot.ravel().tolist()), row(16.0, 24.0, 3.0, 1.0, dot.ravel().tolist()), row(14.0, 24.0, 3.0, 0.1, (5 * dot).ravel().tolist()),
+            row(20.0, 30.0, 1.0, 9.0, far.ravel().tolist()), row(14.0, 24.0, 3.0, 1.0, [0.0] * 81), row(14.0, 24.0, 3.0, 1.0, [])]
+    kinds = "spot struct<x:double,y:double,sigma:double,depth:double>, shape struct<left:double,top:double,spacing:double,side:int,gain:array<double>>"
+    got = spark.createDataFrame(rows, kinds).select(shapes.sharpened().alias("s")).collect()
+    assert [r.s for r in got] == [True, False, False, False, False, False]
+
+
 # Many frames.
 
 
