@@ -38,6 +38,10 @@ def _powers(u, v) -> list:
 SUPPORTS = {square: _Support(square) for square in (False, True)}
 
 
+#: No support.
+NONE = pd.DataFrame({c: [] for c in ("x", "y", "rx", "ry", "amplitude", "rms", "ring", "back", "square")})
+
+
 def enclosed(img: np.ndarray, x, y, rx, ry, square: bool) -> pd.DataFrame:
     """The supports around (x, y) with radii rx, ry (a unit of the grid; the support is four of them) that enclose a dark
     shape, in their order: `x, y, rx, ry, amplitude, rms, ring, back`. Their rim has to be plain, nothing in them much brighter than
@@ -46,6 +50,8 @@ def enclosed(img: np.ndarray, x, y, rx, ry, square: bool) -> pd.DataFrame:
     g, (h, w) = SUPPORTS[square], img.shape
     fits = (x >= 4 * rx) & (y >= 4 * ry) & (x + 4 * rx < w) & (y + 4 * ry < h)
     x, y, rx, ry = x[fits], y[fits], rx[fits], ry[fits]
+    if not len(x):
+        return NONE
     seen = bilinear(img, x[:, None] + rx[:, None] * g.x, y[:, None] + ry[:, None] * g.y)
     plain = ((seen >= 0.0007) & (seen < 0.97)).all(axis=1)
     logs = np.log(np.maximum(seen, 0.0007))
@@ -59,9 +65,10 @@ def enclosed(img: np.ndarray, x, y, rx, ry, square: bool) -> pd.DataFrame:
         plain & (amplitude >= 0.02) & (amplitude < MAX_LOG_GAIN) & (ring < np.minimum(MAX_FIT_ERROR, 0.1 * amplitude)) & (bright <= 1.5 * np.maximum(ring, 0.0005))
         & (shadow[:, g.rim].max(axis=1, initial=0) <= least) & ((shadow > np.maximum(least, 0.15 * amplitude)[:, None]).sum(axis=1) >= 4)
     )
-    got = pd.DataFrame({"x": x, "y": y, "rx": rx, "ry": ry, "amplitude": amplitude, "rms": np.maximum(ring, bright), "ring": ring})
-    got["back"], got["square"] = list(back), square
-    return got[fine].reset_index(drop=True)
+    if not fine.any():
+        return NONE
+    columns = {"x": x, "y": y, "rx": rx, "ry": ry, "amplitude": amplitude, "rms": np.maximum(ring, bright), "ring": ring}
+    return pd.DataFrame({k: v[fine] for k, v in columns.items()} | {"back": list(back[fine]), "square": square})
 
 
 def _quality(fits: pd.DataFrame) -> pd.Series:

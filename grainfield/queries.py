@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import expression as ex
-from .operators import defects, denoise, mosaic, noise, ranges, tone
+from .operators import defects, denoise, mosaic, noise, ranges, shapes, tone
 from .operators import histogram as hs
 from .params import Parameters
 from .sources import raw, sinks, views
@@ -740,6 +740,17 @@ def q_residuals(spark: SparkSession, d: str) -> DataFrame:
     return defects.residuals(_dust_cells(spark), 4.0)
 
 
+@query()
+def q_broad_levels(spark: SparkSession, d: str) -> DataFrame:
+    cells = _dust_cells(spark)
+    return defects.broad_levels(cells, defects.residuals(cells, 4.0))
+
+
+@query()
+def q_shapes(spark: SparkSession, d: str) -> DataFrame:
+    return shapes.shapes(_dust_cells(spark)).drop("gain")
+
+
 @query()
 def q_candidates(spark: SparkSession, d: str) -> DataFrame:
     return defects.candidates(_dust_cells(spark)).drop("gain")

@@ -169,8 +169,18 @@ def test_planted_dust(spark):
     assert len(left) == 120 * 160 and (np.minimum.reduce([np.hypot(darkest["x"] - x, darkest["y"] - y) for x, y in ((90, 75), (130, 45), (20, 30))]) < 6).all()
 
 
+def test_broad_levels_and_shapes_of_dust(spark):
+    got = queries.q_broad_levels(spark, SF).toPandas()
+    assert (got.groupby("frame").size() == 30 * 40).all() and got.loc[~got["smooth"], "value"].eq(0).all() and np.isfinite(got["level"]).all()
+    # Compact spots aren't shapes as well: what is left of gain beyond three of their widths is little.
+    spots, found = queries.q_candidates(spark, SF).toPandas(), queries.q_shapes(spark, SF).toPandas()
+    for s in found.itertuples():
+        near = spots[spots["frame"] == s.frame]
+        assert (np.hypot(near["x"] - s.x, near["y"] - s.y) > 1.5).all() or s.sigma > 2 * near["sigma"].min()
+
+
 def test_every_query_is_tested():
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {f"q_{n}" for n in ("noise_model", "tone_curve", "tone_lut", "png", "denoise", "distinct_views", "stack_sets", "candidates", "residuals")}
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {f"q_{n}" for n in ("noise_model", "tone_curve", "tone_lut", "png", "denoise", "distinct_views", "stack_sets", "candidates", "residuals", "broad_levels", "shapes")}
 
 
 def test_entry(spark):
