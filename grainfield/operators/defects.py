@@ -145,6 +145,22 @@ def smoothed(img: np.ndarray, x, y, step: float) -> np.ndarray:
     return sum(wa * wb * bilinear(img, x + a * step, y + b * step) for a, wa in taps for b, wb in taps)
 
 
+def reached(open_: np.ndarray, y: int, x: int) -> list[tuple[int, int]]:
+    """The open cells connected with (y, x) over eight neighbours; they are closed on the way."""
+    h, w = open_.shape
+    todo, own = [(y, x)], []
+    open_[y, x] = False
+    while todo:
+        y, x = todo.pop()
+        own.append((y, x))
+        for j in range(max(y - 1, 0), min(y + 2, h)):
+            for i in range(max(x - 1, 0), min(x + 2, w)):
+                if open_[j, i]:
+                    open_[j, i] = False
+                    todo.append((j, i))
+    return own
+
+
 def darkness(img: np.ndarray, sigma: float) -> np.ndarray:
     """How much darker a small box is than a large one around it, relative to the large; 0 near edges and extremes."""
     h, w = img.shape
@@ -417,40 +433,60 @@ def stacked(sets: DataFrame, residuals: DataFrame) -> DataFrame:
     return met.select("target", "set", "y", "x", "median", conservative_mad(F.col("v"), F.col("median")).alias("spread"), F.size("v").alias("n"))
 
 
-def gaussian(img: np.ndarray, sigma: float) -> np.ndarray:
-    """Separable Gaussian blur with replicated edges, reaching three widths."""
-    r = math.ceil(3 * sigma)
+def gaussian(img: np.ndarray, sigma: float, odd: bool = False) -> np.ndarray:
+    """Separable Gaussian blur reaching three widths; beyond an edge its value goes on, or with `odd` the mirror image through it."""
+    r = max(1, math.ceil(3 * sigma))
     k = np.exp(-0.5 * (np.arange(-r, r + 1) / sigma) ** 2)
     k /= k.sum()
     for axis in (0, 1):
         pad = [(0, 0), (0, 0)]
         pad[axis] = (r, r)
-        wide = np.pad(img, pad, mode="edge")
+        wide = np.pad(img, pad, mode="reflect", reflect_type="odd") if odd and img.shape[axis] > 1 else np.pad(img, pad, mode="edge")
         img = sum(w * np.take(wide, range(i, i + img.shape[axis]), axis=axis) for i, w in enumerate(k))
     return img
 
 
+def _fifth(v: np.ndarray) -> float:
+    return float(np.sort(v)[len(v) // 5]) if len(v) else 0.0
+
+
+def _grain(value: np.ndarray, level: np.ndarray, counted: np.ndarray) -> np.ndarray:
+    """What grain alone gives each place: the lower fifth of the counted values of its octave of brightness (`level` is a logarithm), or
+    of the nearest octave that has 20, or of all."""
+    octave = np.clip(np.floor(level / math.log(2) + 11), 0, 11).astype(int)
+    known = {o: _fifth(value[counted & (octave == o)]) for o in range(12) if (counted & (octave == o)).sum() >= 20}
+    rest = _fifth(value[counted])
+    return np.array([known[min(known, key=lambda g: (abs(g - o), g))] if known else rest for o in range(12)])[octave]
+
+
+#: Residual maps: detail below this doesn't level its surroundings; side of a texture tile; tolerated texture in grains and at least.
+DARK, TILE, GRAINS, TEXTURE = -0.03, 16, 1.8, 0.012
+
+
 def residuals(cells: DataFrame, sigma: float = 16.0, key: str = "frame") -> DataFrame:
-    """High-passed logarithms of a preview in steps of 1/2048 (at most 8 either way), re-levelled without dark
-    outliers, and whether the surroundings are smooth (local spread within three times its lower fifth)."""
+    """High-passed logarithms of a preview in steps of 1/2048 (at most 8 either way), levelled again without what is dark, so that a
+    deep dip has no bright halo, and whether a cell is `smooth`: neither black nor clipped, in surroundings whose texture (the
+    median detail of tiles) isn't beyond grain. Cells that are missing are black."""
     kind = cells.select(key).schema[0].dataType.simpleString()
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
         h, w = int(f["py"].max()) + 1, int(f["px"].max()) + 1
-        img = np.full((h, w), 0.001)
-        img[f["py"], f["px"]] = np.maximum(f["v"], 0.001)
-        logs = np.log(img)
-        high = logs - gaussian(logs, sigma)
-        spread = 1.4826 * np.median(np.abs(high - np.median(high)))
-        dark = high < -3 * spread
-        weight = gaussian((~dark).astype(float), sigma)
-        level = gaussian(np.where(dark, 0, high), sigma) / np.maximum(weight, 1e-6)
-        high = high - level
-        texture = np.sqrt(np.maximum(0, gaussian(high * high, 4.0)))
-        floor = np.sort(texture.ravel())[texture.size // 5]
+        img = np.zeros((h, w))
+        img[f["py"], f["px"]] = f["v"]
+        logs = np.log(np.maximum(img, 0.0007))
+        high = logs - gaussian(logs, sigma, odd=True)
+        kept = (high >= DARK).astype(float)
+        weight = gaussian(kept, sigma)
+        high = high - np.where(weight > 0.05, gaussian(high * kept, sigma) / np.maximum(weight, 0.05), 0)
+        fine = np.sort(_tiles(np.abs(high - gaussian(high, 1.5, odd=True)), TILE), axis=2)  # NaN last
+        middle = (~np.isnan(fine)).sum(axis=2, keepdims=True) // 2
+        texture = 1.4826 * np.take_along_axis(fine, middle, axis=2)[:, :, 0]
+        limit = np.maximum(GRAINS * _grain(texture, np.nanmean(_tiles(logs, TILE), axis=2), np.ones_like(texture, bool)), TEXTURE)
         y, x = (v.ravel() for v in np.indices((h, w)))
+        at = (x + 0.5) / TILE - 0.5, (y + 0.5) / TILE - 0.5
+        smooth = (img.ravel() >= 0.0007) & (img.ravel() < 0.97) & (bilinear(texture, *at) <= bilinear(limit, *at))
         value = np.clip(np.round(high.ravel() * 2048), -16383, 16383) / 2048
-        return pd.DataFrame({key: f[key].iloc[0], "y": y, "x": x, "value": value, "smooth": texture.ravel() <= 3 * max(floor, 1e-4)})
+        return pd.DataFrame({key: f[key].iloc[0], "y": y, "x": x, "value": value, "smooth": smooth})
 
     return cells.groupBy(key).applyInPandas(one, f"`{key}` {kind}, y int, x int, value double, smooth boolean")
 
@@ -513,17 +549,6 @@ def _tiles(img: np.ndarray, side: int) -> np.ndarray:
 BROAD, BROAD_SIGMA, BROAD_BOUND, BROAD_GRAINS, BROAD_RANGE = 4, 12.0, 0.006, 3.0, 0.03
 
 
-def _quiet(span: np.ndarray, level: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Whether each cell's span is within that of grain at its brightness: the lower fifth of whole cells of its octave, or of the
-    nearest octave that has 20."""
-    octave = np.clip(np.floor(level / math.log(2) + 11), 0, 11).astype(int)
-    fifth = lambda v: np.sort(v)[len(v) // 5] if len(v) else 0.0
-    grain = {o: fifth(span[whole & (octave == o)]) for o in range(12) if (whole & (octave == o)).sum() >= 20}
-    rest = fifth(span[whole])
-    limits = [max(BROAD_GRAINS * (grain[min(grain, key=lambda g: (abs(g - o), g))] if grain else rest), BROAD_RANGE) for o in range(12)]
-    return span <= np.array(limits)[octave]
-
-
 def broad_levels(cells: DataFrame, residuals: DataFrame, key: str = "frame") -> DataFrame:
     """Levels of `BROAD` x `BROAD` preview cells: `key, y, x, level` (log of the mean), `value` (level over a plane of the smooth cells around
     it, in steps of 1/2048; 0 where none can be fixed), `smooth`. `cells` is a preview, `residuals` that of the same frames.
@@ -550,7 +575,7 @@ def broad_levels(cells: DataFrame, residuals: DataFrame, key: str = "frame") ->
         span = np.nanmax(flat, axis=2) - np.nanmin(flat, axis=2)
         level = np.log(np.maximum(np.nanmean(v, axis=2), 0.0007))
         share = np.nansum(flags, axis=2) / n
-        smooth = (share >= 0.75) & _quiet(span, level, share == 1)
+        smooth = (share >= 0.75) & (span <= np.maximum(BROAD_GRAINS * _grain(span, level, share == 1), BROAD_RANGE))
         base = plane_levels(level, smooth, BROAD_SIGMA)
         for _ in range(2):
             base = plane_levels(level, smooth & (np.abs(level - base) <= BROAD_BOUND), BROAD_SIGMA)
@@ -564,39 +589,103 @@ def broad_levels(cells: DataFrame, residuals: DataFrame, key: str = "frame") ->
     return met.groupBy(key).applyInPandas(one, f"`{key}` {kind}, y int, x int, level double, value double, smooth boolean")
 
 
-def regions(stack: DataFrame, seed: tuple[float, float] = (-0.008, -6.0), grow: tuple[float, float] = (-0.004, -3.0), least: int = 4) -> DataFrame:
-    """Connected dark regions of stacks (8 neighbours): cells beyond `grow` around a cell beyond `seed`, as median and
-    median over spread: `target, set, region, cells, x, y, depth`."""
+#: Regions: margin of their window, cells of one in residual maps and in broad levels.
+MARGIN, AREA, BROAD_AREA = 12, (3, 1000), (30, 4000)
+REGION = "region int, cells int, x double, y double, depth double, noise double, left int, top int, width int, height int, median array<double>, near array<boolean>, quiet array<boolean>"
+
+
+def _grown(mask: np.ndarray, reach: int) -> np.ndarray:
+    """Cells within about `reach` of a mask."""
+    wide, (h, w) = np.pad(mask, reach), mask.shape
+    steps = [(j, i) for j in range(-reach, reach + 1) for i in range(-reach, reach + 1) if j * j + i * i <= reach * reach + 1]
+    return np.logical_or.reduce([wide[reach + j : reach + j + h, reach + i : reach + i + w] for j, i in steps])
+
+
+def _disc_like(core: np.ndarray, across: int, down: int) -> bool:
+    """Whether a region fills its box as a disc does; what views share of scenery leaves bands and wisps."""
+    thin, long = sorted((across, down))
+    return core.sum() >= 0.55 * across * down and thickness(core, max(core.shape)) >= 0.3 * thin and long <= 2 * thin
+
+
+def regions(stack: DataFrame, seed: tuple[float, float] = (-0.008, -6.0), grow: tuple[float, float] = (-0.004, -3.0), broad: bool = False) -> DataFrame:
+    """Dark regions of stacks on flat surroundings: cells beyond `grow` (as median, and median over its error) that are connected
+    over 8 neighbours with a cell beyond `seed`, each seen by `MIN_VIEWS` frames. Columns `target, set` and `REGION`: place, depth,
+    noise of the surroundings, and the window with its median (0 where unseen), the region's vicinity and its quiet cells, row by row.
+
+    Left out are regions beyond `AREA` or at the edge of what the stack has seen, thick ones (with `broad`: beyond `BROAD_AREA`, and those
+    unlike discs), and those with noisy or too few surroundings."""
     kind = {f.name: f.dataType.simpleString() for f in stack.schema}
+    least, most = BROAD_AREA if broad else AREA
 
     def one(f: pd.DataFrame) -> pd.DataFrame:
-        score = f["median"] / np.maximum(f["spread"] / np.sqrt(f["n"]), 1e-6)
-        open_ = {(y, x): (m, s) for y, x, m, s in zip(f["y"], f["x"], f["median"], score, strict=True) if m < grow[0] and s < grow[1]}
-        out, seen = [], set()
-        for start in sorted(k for k, (m, s) in open_.items() if m < seed[0] and s < seed[1]):
-            if start in seen:
+        f = f[f["n"] >= MIN_VIEWS]
+        h, w = (int(f[c].max()) + 1 if len(f) else 0 for c in ("y", "x"))
+        median, seen, open_, seeds = np.zeros((h, w)), *(np.zeros((h, w), bool) for _ in range(3))
+        score = f["median"] / (np.maximum(f["spread"], 0.002) / np.sqrt(f["n"]))
+        median[f["y"], f["x"]], seen[f["y"], f["x"]] = f["median"], True
+        open_[f["y"], f["x"]] = (f["median"] < grow[0]) & (score < grow[1])
+        seeds[f["y"], f["x"]] = (f["median"] < seed[0]) & (score < seed[1])
+        out: list[tuple] = []
+        for y, x in zip(*np.nonzero(seeds & open_), strict=True):
+            if not open_[y, x]:
+                continue
+            own = np.array(reached(open_, int(y), int(x)))
+            (top, left), (bottom, right) = own.min(axis=0), own.max(axis=0)
+            if not least <= len(own) <= most or min(top, left) < 2 or right + 3 > w or bottom + 3 > h:
+                continue
+            y0, x0 = max(top - MARGIN, 0), max(left - MARGIN, 0)
+            window = np.s_[y0 : bottom + MARGIN + 1, x0 : right + MARGIN + 1]
+            m, core = median[window], np.zeros_like(seen[window])
+            core[own[:, 0] - y0, own[:, 1] - x0] = True
+            if not (_disc_like(core, right - left + 1, bottom - top + 1) if broad else thickness(core, 7) <= 6):
+                continue
+            near = _grown(core, 2)
+            around = np.sort(m[~near & seen[window]])
+            if len(around) < 8:
+                continue
+            low, high = around[(len(around) - 1) // 2], around[len(around) // 2]
+            noise = 1.4826 * np.sort(np.abs(around - (low if abs(low) <= abs(high) else high)))[(len(around) - 1) // 2]
+            depth = median[own[:, 0], own[:, 1]]
+            quiet = ~_grown(core, 5) & (np.abs(m) <= max(3 * noise, 0.006))
+            if noise > max(0.004, min(-0.2 * depth.min(), 0.012)) or quiet.sum() < 16:
                 continue
-            todo, own = [start], []
-            seen.add(start)
-            while todo:
-                y, x = todo.pop()
-                own.append((y, x))
-                for dy in (-1, 0, 1):
-                    for dx in (-1, 0, 1):
-                        k = (y + dy, x + dx)
-                        if k in open_ and k not in seen:
-                            seen.add(k)
-                            todo.append(k)
-            if len(own) >= least:
-                m = np.array([open_[k][0] for k in own])
-                at = np.array(own, float)
-                out.append((len(out), len(own), (at[:, 1] * m).sum() / m.sum(), (at[:, 0] * m).sum() / m.sum(), float(m.min())))
-        got = pd.DataFrame(out, columns=["region", "cells", "x", "y", "depth"])
-        got.insert(0, "set", f["set"].iloc[0])
-        got.insert(0, "target", f["target"].iloc[0])
+            cy, cx = (own * depth[:, None]).sum(axis=0) / depth.sum()
+            out.append((len(out), len(own), cx, cy, depth.min(), noise, x0, y0, m.shape[1], m.shape[0], m.ravel().tolist(), near.ravel().tolist(), quiet.ravel().tolist()))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in REGION.split(", ")])
+
+    def keyed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        got = one(f)
+        got.insert(0, "set", key[1])
+        got.insert(0, "target", key[0])
         return got
 
-    return stack.groupBy("target", "set").applyInPandas(one, f"target {kind['target']}, set int, region int, cells int, x double, y double, depth double")
+    return stack.groupBy("target", "set").applyInPandas(keyed, f"target {kind['target']}, set int, {REGION}")
+
+
+def contrasts(found: DataFrame, residuals: DataFrame, least: int = 5) -> DataFrame:
+    """How deep frames show the shadows of a stack, next to the stack: `target, set, frame, contrast, regions`. `contrast` is the (upper)
+    median slope of a frame's values over the shadows (medians below 0 in a region's vicinity, 0 elsewhere in its window) of
+    regions that are deep and whose quiet cells are smooth there by nine tenths; frames with fewer than `least` such regions have no row."""
+    place = F.posexplode(F.arrays_zip("median", "near", "quiet"))
+    cells = found.where("depth <= -0.015").select("target", "set", "region", "left", "top", "width", place.alias("i", "c"))
+    cells = cells.select(
+        "target", "set", "region", (F.col("top") + F.floor(F.col("i") / F.col("width"))).cast("int").alias("y"), (F.col("left") + F.col("i") % F.col("width")).alias("x"),
+        F.when(F.col("c.near"), F.least("c.median", F.lit(0.0))).otherwise(0.0).alias("shadow"), F.col("c.quiet").alias("quiet"),
+    )
+    seen = cells.join(residuals.select("frame", "y", "x", "value", "smooth"), ["y", "x"]).groupBy("target", "set", "region", "frame").agg(
+        F.coalesce(F.regr_slope("value", "shadow"), F.lit(0.0)).alias("slope"), F.count_if("quiet").alias("ring"), F.count_if(F.col("quiet") & F.col("smooth")).alias("flat")
+    )
+    met = seen.where("flat * 10 >= ring * 9").groupBy("target", "set", "frame").agg(F.array_sort(F.collect_list("slope")).alias("s"))
+    return met.where(F.size("s") >= least).select("target", "set", "frame", F.get("s", F.floor(F.size("s") / 2).cast("int")).alias("contrast"), F.size("s").alias("regions"))
+
+
+def alike(contrast: DataFrame, views: int = STACK) -> DataFrame:
+    """`target, frame`: the `views` frames (nearest first by id) that show shadows about as deep as their target does, judged by a target's set
+    with the most regions; none where the target itself shows them by a fifth or less."""
+    own = contrast.where("frame = target and contrast > 0.2").groupBy("target").agg(F.max_by(F.struct("set", "contrast"), F.struct("regions", -F.col("set"))).alias("own"))
+    met = contrast.join(own, "target").where((F.col("set") == F.col("own.set")) & (F.col("frame") != F.col("target")) & (F.col("contrast") / F.col("own.contrast")).between(0.7, 1.43))
+    rank = F.row_number().over(Window.partitionBy("target").orderBy(F.abs(F.col("frame") - F.col("target")), "frame"))
+    return met.withColumn("_place", rank).where(F.col("_place") <= views).select("target", "frame")
 
 
 def uncovered(found: DataFrame, patches: DataFrame, key: str = "frame", widths: float = 3.5, block: float = 64.0) -> DataFrame:

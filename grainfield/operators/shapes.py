@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .defects import GRID_H, GRID_W, MAX_FIT_ERROR, MAX_LOG_GAIN, PATCH_SIDE, SIGMAS, bilinear, candidates_of, darkness, peaks_of, smoothed
+from .defects import GRID_H, GRID_W, MAX_FIT_ERROR, MAX_LOG_GAIN, PATCH_SIDE, SIGMAS, bilinear, candidates_of, darkness, peaks_of, reached, smoothed
 
 #: Widest support, scales at which regions are proposed, and the extents in cells that a region may have.
 WIDEST, PROPOSED, EXTENTS = 18.0, (1.2, 5.0), (8, 90)
@@ -75,22 +75,6 @@ def _quality(fits: pd.DataFrame) -> pd.Series:
     return fits["amplitude"] / np.maximum(fits["rms"], 0.001)
 
 
-def _reached(open_: np.ndarray, y: int, x: int) -> list[tuple[int, int]]:
-    """The open cells connected with (y, x) over eight neighbours; they are closed on the way."""
-    h, w = open_.shape
-    todo, own = [(y, x)], []
-    open_[y, x] = False
-    while todo:
-        y, x = todo.pop()
-        own.append((y, x))
-        for j in range(max(y - 1, 0), min(y + 2, h)):
-            for i in range(max(x - 1, 0), min(x + 2, w)):
-                if open_[j, i]:
-                    open_[j, i] = False
-                    todo.append((j, i))
-    return own
-
-
 def proposals(score: np.ndarray, peaks: np.ndarray) -> list[tuple[int, int, int, int]]:
     """Boxes (left, top, width, height) of the regions above a quarter of a peak, each cell in the region of the first peak that
     reaches it. Regions of under four cells, or of other extents than `EXTENTS`, are left out."""
@@ -101,7 +85,7 @@ def proposals(score: np.ndarray, peaks: np.ndarray) -> list[tuple[int, int, int,
             continue
         before = free & (score > max(0.25 * v, 0.002))
         before[y, x] = True
-        at = np.array(_reached(before, y, x))
+        at = np.array(reached(before, y, x))
         free[at[:, 0], at[:, 1]] = False
         (top, left), (height, width) = at.min(axis=0), np.ptp(at, axis=0) + 1
         if len(at) >= 4 and EXTENTS[0] <= max(height, width) <= EXTENTS[1]:
@@ -159,7 +143,7 @@ def _patch(img: np.ndarray, fit: pd.Series) -> dict:
     if dark.any():
         ys, xs = np.nonzero(dark)
         first = np.argmin((ys - side // 2) ** 2 + (xs - side // 2) ** 2)
-        own = np.array(_reached(dark.copy(), int(ys[first]), int(xs[first])))
+        own = np.array(reached(dark.copy(), int(ys[first]), int(xs[first])))
         for share, r in ((0.5, 2), (1.0, 1)):
             for j in range(-r, r + 1):
                 for i in range(-r, r + 1):

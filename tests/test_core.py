@@ -544,8 +544,70 @@ def test_stacks(spark):
     row = pool.where("target = 5").orderBy("place").collect()
     assert [r.frame for r in row] == sorted((k for k in range(12) if k != 5), key=lambda k: (abs(k - 5), k))
     sets = defects.stack_sets(pool)
-    res = v.select("frame").crossJoin(spark.range(16).select((F.col("id") / 4).cast("int").alias("y"), (F.col("id") % 4).cast("int").alias("x"))).withColumns({"value": F.when((F.col("y") == 1) & F.col("x").between(0, 3), -0.05).otherwise(0.01) + F.col("frame") * 1e-5, "smooth": F.lit(True)})
+    side = 40
+    grid = spark.range(side * side).select((F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"))
+    dark = F.when((F.col("y") == 19) & F.col("x").between(10, 13), -0.05).otherwise(0.001) + F.col("frame") * 1e-5
+    res = v.select("frame").crossJoin(grid).withColumns({"value": dark, "smooth": F.lit(True)})
     stack = defects.stacked(sets.where("target = 5"), res)
-    assert stack.where("set = 0").count() == 16
-    found = defects.regions(stack.where("set = 0"), least=3).collect()
-    assert len(found) == 1 and found[0].cells == 4 and found[0].y == pytest.approx(1)
+    assert stack.where("set = 0").count() == side * side
+    (found,) = defects.regions(stack.where("set = 0")).collect()
+    assert (found.cells, found.left, found.top, found.width, found.height) == (4, 0, 7, 26, 25) and found.y == pytest.approx(19) and found.x == pytest.approx(11.5)
+    assert sum(found.near) > 4 and sum(found.quiet) > 400 and found.noise < 1e-3 and found.depth == pytest.approx(-0.05, abs=1e-3)
+    assert not defects.regions(stack.limit(0)).collect()
+
+
+def stack_of(spark, median, views=8):
+    import pandas as pd
+
+    y, x = np.indices(median.shape)
+    got = pd.DataFrame({"target": 1, "set": 0, "y": y.ravel(), "x": x.ravel(), "median": median.ravel(), "spread": 0.002, "n": views})
+    return spark.createDataFrame(got).select("target", F.col("set").cast("int"), F.col("y").cast("int"), F.col("x").cast("int"), "median", "spread", F.col("n").cast("int"))
+
+
+def test_regions_on_flat_ground_only(spark):
+    y, x = np.indices((90, 90))
+    disc = lambda cy, cx, r: np.hypot(y - cy, x - cx) <= r
+    noise = np.random.default_rng(4).normal(0, 0.0005, (90, 90))
+    at = lambda f, **k: sorted((round(r.x), round(r.y)) for r in defects.regions(stack_of(spark, f, **k.pop("stack", {})), **k).collect())
+    spots = disc(30, 30, 3) | disc(0, 60, 3) | disc(60, 60, 9)
+    assert at(noise - 0.03 * spots) == [(30, 30)]  # at the edge; too thick
+    assert at(noise - 0.03 * spots, broad=True) == [(60, 60)]  # too small
+    assert at(noise - 0.03 * (disc(45, 45, 3) | (abs(y - 70) < 2) & (x > 10) & (x < 70)), broad=True) == []  # a band
+    assert at(noise - 0.03 * disc(30, 30, 3), stack={"views": 2}) == []
+    ((cx, cy),) = at(10 * noise - 0.03 * disc(30, 30, 3))
+    assert math.hypot(cx - 30, cy - 30) <= 1.5 and at(30 * noise - 0.03 * disc(30, 30, 3)) == []
+
+
+def test_contrast_of_views(spark):
+    import pandas as pd
+
+    y, x = np.indices((60, 160))
+    shade = np.zeros((60, 160))
+    for k in range(6):
+        shade -= 0.04 * (np.hypot(y - 30, x - 15 - 25 * k) <= 2.5)
+    found = defects.regions(stack_of(spark, shade)).cache()
+    assert found.count() == 6
+    frames = {1: (1.0, 1.0), 2: (0.9, 1.0), 3: (2.0, 1.0), 4: (1.1, 0.0), 5: (1.2, 1.0)}
+    res = spark.createDataFrame(pd.concat([pd.DataFrame({"frame": k, "y": y.ravel(), "x": x.ravel(), "value": depth * shade.ravel() + 0.01, "smooth": bool(smooth)}) for k, (depth, smooth) in frames.items()]))
+    got = defects.contrasts(found, res).cache()
+    assert {r.frame: round(r.contrast, 6) for r in got.collect()} == {k: depth for k, (depth, smooth) in frames.items() if smooth}
+    assert [r.frame for r in defects.alike(got).orderBy("frame").collect()] == [2, 5]
+    assert not defects.contrasts(found.where("region < 4"), res).count()
+
+
+def test_residuals_of_a_slope(spark):
+    import pandas as pd
+
+    h, w = 100, 120
+    y, x = np.indices((h, w))
+    rng = np.random.default_rng(7)
+    img = np.exp(-1 - 0.004 * x + rng.normal(0, 0.002, (h, w))) * (1 - 0.3 * (np.hypot(y - 40, x - 50) < 4))
+    img[60:, 80:] *= np.exp(rng.normal(0, 0.2, (40, 40)))
+    img[20, 100] = 1.0
+    cells = spark.createDataFrame(pd.DataFrame({"frame": 1, "py": y.ravel(), "px": x.ravel(), "v": img.ravel()}))
+    got = defects.residuals(cells).toPandas().set_index(["y", "x"])
+    assert got.loc[(40, 50), "value"] == pytest.approx(math.log(0.7), abs=0.02)
+    # Neither a halo around the dip nor a bias at the slope's edge.
+    ring = [got.loc[(40 + j, 50 + i), "value"] for j in (-7, 0, 7) for i in (-7, 0, 7) if j or i]
+    assert abs(np.mean(ring)) < 0.005 and abs(got.loc[(slice(10, 30), slice(0, 3)), "value"].mean()) < 0.01
+    assert got.loc[(20, 20), "smooth"] and not got.loc[(80, 100), "smooth"] and not got.loc[(20, 100), "smooth"]
