@@ -740,6 +740,23 @@ def q_residuals(spark: SparkSession, d: str) -> DataFrame:
     return defects.residuals(_dust_cells(spark), 4.0)
 
 
+def _dust_regions(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    cells = _dust_cells(spark)
+    left = defects.residuals(cells, 4.0)  # the scenes are a tenth of a preview's usual size
+    sets = cells.select("frame").distinct().withColumns({"target": F.lit(0), "set": F.lit(0)})
+    return defects.regions(defects.stacked(sets, left)), left
+
+
+@query()
+def q_regions(spark: SparkSession, d: str) -> DataFrame:
+    return _dust_regions(spark)[0].drop("median", "near", "quiet")
+
+
+@query()
+def q_contrasts(spark: SparkSession, d: str) -> DataFrame:
+    return defects.contrasts(*_dust_regions(spark), least=1)
+
+
 @query()
 def q_broad_levels(spark: SparkSession, d: str) -> DataFrame:
     cells = _dust_cells(spark)

@@ -179,8 +179,17 @@ def test_broad_levels_and_shapes_of_dust(spark):
         assert (np.hypot(near["x"] - s.x, near["y"] - s.y) > 1.5).all() or s.sigma > 2 * near["sigma"].min()
 
 
+def test_regions_of_dust(spark):
+    got = queries.q_regions(spark, SF).toPandas()
+    for x, y in ((90, 75), (130, 45)):
+        assert (np.hypot(got["x"] - x, got["y"] - y) < 2).sum() == 1
+    assert (got["cells"] >= 3).all() and (got["depth"] < -0.008).all()
+    seen = queries.q_contrasts(spark, SF).toPandas()
+    assert sorted(seen["frame"]) == list(range(4)) and seen["contrast"].between(0.5, 2).all()
+
+
 def test_every_query_is_tested():
-    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {f"q_{n}" for n in ("noise_model", "tone_curve", "tone_lut", "png", "denoise", "distinct_views", "stack_sets", "candidates", "residuals", "broad_levels", "shapes")}
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {f"q_{n}" for n in ("noise_model", "tone_curve", "tone_lut", "png", "denoise", "distinct_views", "stack_sets", "candidates", "residuals", "broad_levels", "shapes", "regions", "contrasts")}
 
 
 def test_entry(spark):
