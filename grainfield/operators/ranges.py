@@ -72,14 +72,15 @@ def tail_knee(cdf: DataFrame, high: bool, sigma: Column | None = None, p: Parame
     )
 
 
-def supported_tail(samples: DataFrame, bounds: DataFrame, high: bool, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS) -> DataFrame:
+def supported_tail(samples: DataFrame, bounds: DataFrame, high: bool, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS, every: bool = False) -> DataFrame:
     """Tail centres with enough neighbours in the same tail: `y, x, value` with value the mean of the two middle
-    neighbours. `bounds` has `bound` by key; only tail samples take part in the join of neighbours."""
+    neighbours. `bounds` has `bound` by key; only tail samples take part in the join of neighbours. Centres lie on the sampling
+    grid of `coherent_samples`, or are `every` tail sample."""
     r = p.coherent_radius
     beyond = (lambda c: F.col(c) > F.col("bound")) if high else (lambda c: F.col(c) < F.col("bound"))
     size = samples.groupBy(*keys).agg(F.max("x").alias("xm"), F.max("y").alias("ym"), F.count("*").alias("area"))
     at = samples.join(bounds, list(keys)).where(beyond("code")).join(size, list(keys))
-    step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("area") / F.lit(float(p.coherent_samples)))).cast("int"))
+    step = F.lit(1) if every else F.greatest(F.lit(1), F.ceil(F.sqrt(F.col("area") / F.lit(float(p.coherent_samples)))).cast("int"))
     inside = (F.col("x") >= r) & (F.col("x") <= F.col("xm") - r) & (F.col("y") >= r) & (F.col("y") <= F.col("ym") - r)
     centres = at.withColumn("step", step).where(inside & ((F.col("x") - r) % F.col("step") == 0) & ((F.col("y") - r) % F.col("step") == 0))
     around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy in range(-r, r + 1) for dx in range(-r, r + 1) if dy or dx])
