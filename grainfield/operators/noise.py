@@ -1,7 +1,7 @@
 """Noise statistics: patches, brightness bins, a variance model and dynamic range.
 
-Patches are rows (at most `noise_max_patches` per frame and plane by the sampling grid), measured in Arrow batches;
-one frame's patches then meet in one group, whose size that grid bounds.
+Patches are rows (at most `noise_max_patches` per frame and plane by the sampling grid, unless every patch is asked for),
+measured in Arrow batches; for an estimate one frame's patches then meet in one group, whose size that grid bounds.
 """
 
 from __future__ import annotations
@@ -37,10 +37,11 @@ def normal_quantile(fraction: float) -> float:
     return float(np.polyval(_INVERSE_NORMAL[0], q * q) * q / np.polyval(_INVERSE_NORMAL[1], q * q))
 
 
-def patches(samples: DataFrame, meta: DataFrame, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS) -> DataFrame:
-    """A row per patch of the sampling grid: `py, px, codes` in row order. `meta` has `width` and `height`."""
+def patches(samples: DataFrame, meta: DataFrame, p: Parameters = Parameters(), keys: tuple[str, ...] = KEYS, every: bool = False) -> DataFrame:
+    """A row per patch of the sampling grid: `py, px, codes` in row order. `meta` has `width` and `height`. With `every`, patches
+    lie side by side over the whole frame, however many there are."""
     side = p.noise_patch_side
-    step = F.greatest(F.lit(side), F.ceil(F.sqrt(F.col("width") * F.col("height") / F.lit(float(p.noise_max_patches)))).cast("int"))
+    step = F.lit(side) if every else F.greatest(F.lit(side), F.ceil(F.sqrt(F.col("width") * F.col("height") / F.lit(float(p.noise_max_patches)))).cast("int"))
     at = samples.join(meta.select(*keys, "width", "height"), list(keys)).withColumn("step", step)
     y, x = F.col("y"), F.col("x")
     fits = (y % F.col("step") < side) & (x % F.col("step") < side) & (y - y % F.col("step") + side <= F.col("height")) & (x - x % F.col("step") + side <= F.col("width"))
