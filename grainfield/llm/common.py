@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,34 +106,57 @@ def bitmap(hashes: DataFrame, bits: int) -> DataFrame:
 SMALL_EDGES = 1 << 20
 
 
+def _connected(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of edges, and for each the smallest id that it is connected with. Roots with a smaller root at the other end
+    of an edge move below the smallest such, until no edge has two roots."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(ids))
+    while len(a):
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return ids, ids[root]
+
+
+def _connected_batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """`_connected` over all the edges `(u, v)` of a task."""
+    found = list(them)
+    u, v = (np.concatenate([np.empty(0, np.int64), *[x.column(i).to_numpy() for x in found]]) for i in (0, 1))
+    ids, low = _connected(u, v)
+    for k in range(0, len(ids), 10_000):
+        yield pa.RecordBatch.from_arrays([pa.array(ids[k : k + 10_000]), pa.array(low[k : k + 10_000])], names=["id", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of `edges (a long, b long)`: rows `(id, component)` for
     every id in an edge, component being the smallest id reachable.
 
     Alternating large-star and small-star steps (Kiveris et al., 2014) over an
     edge table; only counts come to the driver. Null ends and loops are ignored.
-    The steps are the same at every size: a table of `SMALL_EDGES` or fewer is
-    read as one partition, which spares its steps the shuffles.
+    A table of `SMALL_EDGES` or fewer is connected by one task instead, to the
+    same result: the many small steps would each leave the driver a plan.
     """
     e = cut(
         edges.where("a is not null and b is not null and a != b")
         .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    state, small_table = None, e.count() <= SMALL_EDGES
-    whole = (lambda df: df.coalesce(1)) if small_table else (lambda df: df)
-    dealt = (lambda df: df) if small_table else spread
-    e = whole(e)
+    if e.count() <= SMALL_EDGES:
+        return e.coalesce(1).mapInArrow(_connected_batches, "id long, component long")
+    state = None
     while True:
         # Large star: every neighbour above u goes to u's smallest neighbour.
-        both = whole(e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+        both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(dealt(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        e = whole(cut(large))
+        large = both.join(spread(low), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e = cut(large)
         # Small star: u and its neighbours below go to the smallest of them.
         low = e.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e.join(dealt(low), "u")
+        joined = e.join(spread(low), "u")
         small = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v")))
-        e = whole(cut(whole(small).distinct()))
+        e = cut(small.distinct())
         # A star forest: each u has one v, and no v is a u.
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if not now["n"] or state == (now["n"], now["h"]):

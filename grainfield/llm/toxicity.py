@@ -128,8 +128,8 @@ def train(
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", max_rows: int = 12_000, dims: int = 1 << 18) -> FactorizationMachine:
     """A machine learned from the labelled rows that are not held out.
 
-    At most about `max_rows` of them, taken by a hash of their id, come to the driver, as terms and not as
-    texts; this bound holds at every size. Null ids and labels are left out; a document with several labels
+    At most about `max_rows` of them, taken by a hash of their id, meet in one task, as terms and not as
+    texts; this bound holds at every size. Only the machine comes to the driver, whose memory is for plans. Null ids and labels are left out; a document with several labels
     has the largest. No labelled rows give a machine without terms, which scores next to 0 throughout: nothing is
     called toxic unseen.
     """
@@ -146,14 +146,24 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
             got = [_features(t.as_py(), terms) for t in batch.column("t")]
             yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in got], pa.int64()), batch.column("y"), pa.array(got, pa.list_(pa.int32()))], names=["h", "y", "x"])
 
-    got = rows.mapInArrow(batches, "h long, y int, x array<int>").toArrow()
+    def trained(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(found) if (found := list(them)) else None
+        if got is None or not got.num_rows:
+            return
+        # The same order whatever the partitions: by a hash of the terms.
+        x = [part[a:b] for c in got.column("x").chunks for part, ends in [(c.values.to_numpy(), c.offsets.to_numpy())] for a, b in zip(ends, ends[1:], strict=False)]
+        y_ = got.column("y").to_numpy()
+        order = np.lexsort((y_, got.column("h").to_numpy()))
+        m = train([x[i] for i in order], (y_[order] > 0).astype(np.float64), dims)
+        yield pa.RecordBatch.from_arrays([pa.array([m.bias]), *[pa.array([v.tobytes()], pa.binary()) for v in (m.terms, m.weights, m.factors)]], names=["bias", "terms", "weights", "factors"])
+
+    terms = rows.mapInArrow(batches, "h long, y int, x array<int>")
+    got = terms.repartition(1).mapInArrow(trained, "bias double, terms binary, weights binary, factors binary").toArrow()
     if not got.num_rows:
         return FactorizationMachine(dims, np.empty(0, np.int64), -35.0, np.empty(0), np.empty((0, 1)))
-    # The same order whatever the partitions: by a hash of the terms.
-    x = [part[a:b] for c in got.column("x").chunks for part, ends in [(c.values.to_numpy(), c.offsets.to_numpy())] for a, b in zip(ends, ends[1:], strict=False)]
-    y_ = got.column("y").to_numpy()
-    order = np.lexsort((y_, got.column("h").to_numpy()))
-    return train([x[i] for i in order], (y_[order] > 0).astype(np.float64), dims)
+    flat = lambda name, kind: np.frombuffer(got.column(name)[0].as_py(), kind)
+    weights = flat("weights", np.float64)
+    return FactorizationMachine(dims, flat("terms", np.int64), got.column("bias")[0].as_py(), weights, flat("factors", np.float64).reshape(len(weights), -1))
 
 
 def held_out(doc_id):
